@@ -161,16 +161,12 @@ def classification_report(cells: DataFrame, levels: Sequence[str] = LEVELS) -> D
 
 def per_class_perf(cells: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
     """Accuracy within the class, precision and recall of classes present in the truth."""
-    in_class = ratio(
-        F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0))), F.sum("n")
-    )
-    truth = cells.groupBy(F.col("y").alias("label_id")).agg(in_class.alias("class_accuracy"))
-    stats = class_stats(cells).where(F.col("support") > 0)
     code = F.get(F.array(*[F.lit(level) for level in levels]), F.col("label_id"))
-    return stats.join(truth, "label_id").select(
+    return class_stats(cells).where(F.col("support") > 0).select(
         "label_id",
         code.alias("level"),
-        "class_accuracy",
+        # Hits among the rows of the class: the same number as recall.
+        _recall().alias("class_accuracy"),
         _precision().alias("precision"),
         _recall().alias("recall"),
         "support",

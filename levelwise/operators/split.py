@@ -34,7 +34,6 @@ TEST_PCT_OF_HOLDOUT = 50
 SPLITS = ("train", "val", "test")
 SEED = 42
 
-EVERY_LABEL = Window.partitionBy()
 # Exact up to 10^18 rows: counts are multiplied before they are divided.
 WIDE = "decimal(38,0)"
 
@@ -72,7 +71,7 @@ def stratified_quotas(
         F.col(n).alias("n"),
         F.when(F.lit(allow_rare) & rare, F.lit(0)).otherwise(F.col(n)).cast(WIDE).alias("pool"),
     )
-    total = F.sum("pool").over(EVERY_LABEL).cast(WIDE)
+    total = F.sum("pool").over(Window.partitionBy()).cast(WIDE)
     base = base.withColumn("n_hold", _ceil_pct(total, holdout_pct))
     base = base.withColumn("n_train", (total - F.col("n_hold")).cast(WIDE))
     base = base.withColumn("n_test", _ceil_pct(F.col("n_hold"), test_pct))
@@ -81,13 +80,13 @@ def stratified_quotas(
         code = F.get(F.array(*[F.lit(level) for level in levels]), F.col("label_id"))
         base = base.withColumn("n", _refuse(F.col("n"), rare, F.concat(
             F.lit("stratified split needs at least 2 rows of every label; too few of "), code)))
-        classes = F.count(F.lit(1)).over(EVERY_LABEL)
+        classes = F.count(F.lit(1)).over(Window.partitionBy())
         smallest = F.least("n_train", "n_val", "n_test")
         base = base.withColumn("n", _refuse(F.col("n"), smallest < classes, F.lit(
             "stratified split: a split would be smaller than the number of labels")))
     base = base.withColumn("train", _largest_remainder(F.col("pool"), F.col("n_train"), total))
     base = base.withColumn("held", (F.col("pool") - F.col("train")).cast(WIDE))
-    held_total = F.sum("held").over(EVERY_LABEL).cast(WIDE)
+    held_total = F.sum("held").over(Window.partitionBy()).cast(WIDE)
     base = base.withColumn("val", _largest_remainder(F.col("held"), F.col("n_val"), held_total))
     return base.select(
         "label_id",
@@ -177,7 +176,7 @@ def _largest_remainder(size: Column, draws: Column, total: Column) -> Column:
     whole = F.when(total > 0, F.call_function("div", scaled, total)).otherwise(F.lit(0)).cast(WIDE)
     rest = F.when(total > 0, scaled % total).otherwise(F.lit(0)).cast(WIDE)
     by_rest = Window.partitionBy().orderBy(rest.desc(), F.col("label_id"))
-    missing = draws - F.sum(whole).over(EVERY_LABEL)
+    missing = draws - F.sum(whole).over(Window.partitionBy())
     return (whole + F.when(F.row_number().over(by_rest) <= missing, F.lit(1)).otherwise(F.lit(0))).cast(WIDE)
 
 

@@ -1,4 +1,8 @@
-"""Class statistics and imbalance weights."""
+"""Class statistics and imbalance weights.
+
+The windows over everything here only ever see an aggregate: one row per label,
+split or other small key.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +19,6 @@ from levelwise.functions.measures import pct_of_total, ratio
 ALPHA = 0.5
 EPSILON = 1e-5
 
-# Only ever applied after an aggregation to one row per label or split.
-EVERY_ROW = Window.partitionBy()
-
 
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows per label, most frequent first."""
@@ -27,13 +28,13 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
 def counts_with_pct(df: DataFrame, key: str) -> DataFrame:
     """Rows per ``key`` and their percentage of all rows (one decimal)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", pct_of_total(F.col("n"), F.sum("n").over(EVERY_ROW)))
+    return counts.withColumn("pct", pct_of_total(F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
 def class_ratios(df: DataFrame, label_id: str = "label_id") -> DataFrame:
     """Observed label ids with their count and share."""
     counts = df.groupBy(label_id).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("ratio", ratio(F.col("n"), F.sum("n").over(EVERY_ROW)))
+    return counts.withColumn("ratio", ratio(F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
 def class_weights(
@@ -52,7 +53,7 @@ def class_weights(
     observed = powered.select(
         F.col(label_id).alias("label_id"),
         (
-            F.col("powered") / F.sum("powered").over(EVERY_ROW) / (F.col("ratio") + F.lit(float(epsilon)))
+            F.col("powered") / F.sum("powered").over(Window.partitionBy()) / (F.col("ratio") + F.lit(float(epsilon)))
         ).alias("weight"),
     )
     return (
