@@ -171,7 +171,7 @@ known AS (SELECT id, token_id, count(*) AS n FROM words JOIN vocabulary USING (t
 pooled AS (
   SELECT id, i, sum(n * (token_id * (i + 7) % 101) / 101.0::DOUBLE) / sum(n) AS value
   FROM known, (SELECT unnest(range({EMBED_DIM})) AS i) GROUP BY id, i)
-SELECT d.doc_id AS id, i::INT AS i, round(COALESCE(p.value, 0.0::DOUBLE), 6) AS value
+SELECT d.doc_id AS id, d.i::INT AS i, round(COALESCE(p.value, 0.0::DOUBLE), 6) AS value
 FROM (SELECT doc_id, unnest(range({EMBED_DIM})) AS i FROM documents) d LEFT JOIN pooled p ON p.id = d.doc_id AND p.i = d.i""")
 def embed_text_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the mean of given word vectors."""

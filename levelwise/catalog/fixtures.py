@@ -7,6 +7,8 @@ skill. Every row of a table is used.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,11 @@ def fixed_head(dim: int) -> list[list[float]]:
     return [[head_weight(k, i) for i in range(dim)] for k in range(len(LEVELS))]
 
 
+def sentence_bias() -> list[float]:
+    """Small irrational offsets: no two classes tie on rational features."""
+    return [math.sqrt(k + 1) / 1000.0 for k in range(len(LEVELS))]
+
+
 def sentence_features(sentence: str = "sentence") -> Column:
     """Four plain measures of a sentence."""
     vowels = F.length(F.regexp_replace(sentence, "[^aeiou]", ""))
@@ -124,10 +131,10 @@ exploded AS (
 ASCII_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def head_sql(source: str, key: str, vector: str, dim: int) -> str:
+def head_sql(source: str, key: str, vector: str, dim: int, bias: str = "0") -> str:
     """Logit of every class for every row of ``source``: ``key, k, logit``."""
     terms = "(CAST((k * 31 + i * 17) % 13 - 6 AS DOUBLE) / 6.0::DOUBLE)"
     return f"""logits AS (
-  SELECT {key}, k, sum(x * {terms}) AS logit FROM (
+  SELECT {key}, k, sum(x * {terms}) + {bias} AS logit FROM (
     SELECT {key}, CAST(unnest({vector}) AS DOUBLE) AS x, unnest(range({dim})) AS i FROM {source}),
     (SELECT unnest(range({len(LEVELS)})) AS k) GROUP BY {key}, k)"""

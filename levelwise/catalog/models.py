@@ -77,7 +77,7 @@ def score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _score_sentences(rows: DataFrame) -> DataFrame:
-    return sc.score_linear(rows.withColumn("features", fx.sentence_features()), fx.fixed_head(4))
+    return sc.score_linear(rows.withColumn("features", fx.sentence_features()), fx.fixed_head(4), fx.sentence_bias())
 
 
 SCORED_REQUESTS_SQL = f"""WITH {fx.REQUESTS_SQL},
@@ -88,7 +88,7 @@ features AS (
          len(regexp_extract_all(lower(sentence), '[a-z]+')) / 10.0::DOUBLE,
          length(regexp_replace(sentence, '[^aeiou]', '', 'g')) / 50.0::DOUBLE,
          length(regexp_replace(sentence, '[^,]', '', 'g'))::DOUBLE] AS f FROM valid),
-{fx.head_sql("features", "request_id, pos", "f", 4)},
+{fx.head_sql("features", "request_id, pos", "f", 4, "sqrt(k + 1) / 1000.0::DOUBLE")},
 {BEST_SQL.format(key="request_id, pos")}
 SELECT b.request_id, b.pos::INT AS pos, v.sentence, {CODE_OF_PRED} AS cefr, round(b.confidence, 6) AS confidence
 FROM best b JOIN valid v ON v.request_id = b.request_id AND v.pos = b.pos"""

@@ -212,10 +212,10 @@ def filter_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH residue AS (
   SELECT doc_id AS request_id, list_filter(
-           string_split(regexp_replace(text, '[A-Za-z.,]', '', 'g'), chr(10)), s -> s <> '') AS sentences
+           string_split(regexp_replace(text, '[A-Za-z.,]', '', 'g'), chr(10)), lambda s: s <> '') AS sentences
   FROM documents)
 SELECT request_id, CASE WHEN len(sentences) = 0 THEN 'no_sentences'
-  WHEN len(list_filter(sentences, s -> trim(s, {fx.ASCII_SPACE}) <> '')) = 0 THEN 'no_valid_sentences'
+  WHEN len(list_filter(sentences, lambda s: trim(s, {fx.ASCII_SPACE}) <> '')) = 0 THEN 'no_valid_sentences'
   ELSE 'ok' END AS status FROM residue""")
 def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rq.request_status(fx.residue_requests(spark, sf_dir)).select("request_id", "status")
