@@ -175,7 +175,7 @@ SELECT d.doc_id AS id, d.i::INT AS i, round(COALESCE(p.value, 0.0::DOUBLE), 6) A
 FROM (SELECT doc_id, unnest(range({EMBED_DIM})) AS i FROM documents) d LEFT JOIN pooled p ON p.id = d.doc_id AND p.i = d.i""")
 def embed_text_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the mean of given word vectors."""
-    docs = fx.level_docs(spark, sf_dir)
+    docs = fx.level_docs(spark, sf_dir, whole_texts=True)
     vectors = learn_vocabulary(docs, EMBED_WORDS).select("token", _fixed_vector().alias("vector"))
     pooled = pooling.embed_text(docs, vectors, EMBED_DIM)
     return rounded(pooled.select("id", F.posexplode("pooled").alias("i", "value")), "value")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS, id_to_label
 from levelwise.functions.text import words
+from levelwise.sources.layout import spread
 
 # Lower length edges of levels 1..5.
 LENGTH_EDGES = (400, 1000, 2000, 4000, 8000)
@@ -27,15 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on whole texts, on as many tasks as there are cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+
+
 def length_level(chars: Column) -> Column:
     return sum(((chars >= edge).cast("int") for edge in LENGTH_EDGES[1:]), (chars >= LENGTH_EDGES[0]).cast("int"))
 
 
-def level_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, text, n_chars, y``"""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), "text", "n_chars", length_level(F.col("n_chars")).alias("y")
-    )
+def level_docs(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
+    """``id, text, n_chars, y``; ``whole_texts`` for queries that work through the text."""
+    docs = documents(spark, sf_dir) if whole_texts else table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), "text", "n_chars", length_level(F.col("n_chars")).alias("y"))
 
 
 def level_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +52,9 @@ def level_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_docs(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
     """``id, text, label, label_id``"""
-    return level_docs(spark, sf_dir).select(
+    return level_docs(spark, sf_dir, whole_texts).select(
         "id", "text", id_to_label("y").alias("label"), F.col("y").alias("label_id")
     )
 
@@ -81,7 +86,7 @@ def sentence_features(sentence: str = "sentence") -> Column:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``request_id, sentences``: each document's text cut at full stops and line ends."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("request_id"), F.split("text", "[.\n]").alias("sentences")
     )
 
@@ -89,7 +94,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def residue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each line without ASCII letters: often blank, sometimes nothing."""
     residue = F.split(F.regexp_replace("text", "[A-Za-z.,]", ""), "\n")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("request_id"), F.filter(residue, lambda s: s != "").alias("sentences")
     )
 

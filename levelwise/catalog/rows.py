@@ -123,7 +123,7 @@ FROM encoded"""
 
 
 def _encoded(spark: SparkSession, sf_dir: str, size: int, length: int) -> DataFrame:
-    docs = fx.level_docs(spark, sf_dir)
+    docs = fx.level_docs(spark, sf_dir, whole_texts=True)
     encoded = encode(docs, learn(docs, size), max_length=length)
     return encoded.select(
         "id", real_tokens().alias("n_tokens"), F.array_join("input_ids", " ").alias("input_ids")
@@ -133,7 +133,7 @@ def _encoded(spark: SparkSession, sf_dir: str, size: int, length: int) -> DataFr
 @query("WITH " + VOCABULARY_SQL.format(size=1000) + " SELECT token, token_id, n FROM vocabulary")
 def learn_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 1,000 most frequent words of the corpus."""
-    return learn(fx.level_docs(spark, sf_dir), 1000)
+    return learn(fx.level_docs(spark, sf_dir, whole_texts=True), 1000)
 
 
 @query(ENCODE_SQL.format(size=200, room=14, length=16))

@@ -5,13 +5,15 @@ The first ``train`` rows of a label are training rows, the next ``val`` rows
 validation, the rest test. Ranking a whole label would push it through one
 task, so only two *cut points* per label are located:
 
-1. count rows per (label, leading hash digits): a map-side-combined
-   aggregation whose result is at most ``len(levels) * 16**HASH_DIGITS`` rows;
-2. running totals over that small table tell which hash cell holds each cut;
-3. only the rows of those cells, a 1/16**HASH_DIGITS share of a label each,
-   are ranked to find the exact row at the cut.
-
-Assigning rows is then a comparison with the broadcast cut points, one row per
+1. count rows per (label, first two hash digits): a map-side-combined
+   aggregation of at most 256 rows per label and task;
+2. running totals over that small table tell which cell holds each cut;
+3. only rows of those cells, about 1/256 of a label, are counted again by their
+   first five digits, which narrows each cut to a millionth of its label;
+4. only the rows of those last cells are ranked to find the row at the cut.
+
+Every shuffle is tiny, each pass reads the id and label columns alone, and
+assigning the rows is a comparison with the broadcast cut points, one row per
 label: the text is read once and never shuffled, whatever the label skew.
 """
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS
 
-HASH_DIGITS = 3
+# Leading hash digits of the coarse and the fine cells.
+COARSE, FINE = 2, 5
 
 # Hold-out share in per cent, the test share of the hold-out in
 # per cent, and the split names.
@@ -71,23 +74,30 @@ def stratified_quotas(
         F.col(n).alias("n"),
         F.when(F.lit(allow_rare) & rare, F.lit(0)).otherwise(F.col(n)).cast(WIDE).alias("pool"),
     )
-    total = F.sum("pool").over(Window.partitionBy()).cast(WIDE)
-    base = base.withColumn("n_hold", _ceil_pct(total, holdout_pct))
-    base = base.withColumn("n_train", (total - F.col("n_hold")).cast(WIDE))
+    everything = Window.partitionBy()
+    base = base.withColumns({
+        "total": F.sum("pool").over(everything).cast(WIDE), "classes": F.count(F.lit(1)).over(everything)
+    })
+    base = base.withColumn("n_hold", _ceil_pct(F.col("total"), holdout_pct))
     base = base.withColumn("n_test", _ceil_pct(F.col("n_hold"), test_pct))
-    base = base.withColumn("n_val", (F.col("n_hold") - F.col("n_test")).cast(WIDE))
+    base = base.withColumns({
+        "n_train": (F.col("total") - F.col("n_hold")).cast(WIDE),
+        "n_val": (F.col("n_hold") - F.col("n_test")).cast(WIDE),
+    })
     if not allow_rare:
         code = F.get(F.array(*[F.lit(level) for level in levels]), F.col("label_id"))
-        base = base.withColumn("n", _refuse(F.col("n"), rare, F.concat(
-            F.lit("stratified split needs at least 2 rows of every label; too few of "), code)))
-        classes = F.count(F.lit(1)).over(Window.partitionBy())
+        too_few = F.concat(F.lit("stratified split needs at least 2 rows of every label; too few of "), code)
+        too_small = F.lit("stratified split: a split would be smaller than the number of labels")
         smallest = F.least("n_train", "n_val", "n_test")
-        base = base.withColumn("n", _refuse(F.col("n"), smallest < classes, F.lit(
-            "stratified split: a split would be smaller than the number of labels")))
-    base = base.withColumn("train", _largest_remainder(F.col("pool"), F.col("n_train"), total))
+        base = base.withColumn(
+            "n",
+            F.when(rare, F.raise_error(too_few).cast("long"))
+            .when(smallest < F.col("classes"), F.raise_error(too_small).cast("long"))
+            .otherwise(F.col("n")),
+        )
+    base = _largest_remainder(base, "pool", "n_train", "total", "train")
     base = base.withColumn("held", (F.col("pool") - F.col("train")).cast(WIDE))
-    held_total = F.sum("held").over(Window.partitionBy()).cast(WIDE)
-    base = base.withColumn("val", _largest_remainder(F.col("held"), F.col("n_val"), held_total))
+    base = _largest_remainder(base, "held", "n_val", "n_hold", "val")
     return base.select(
         "label_id",
         "n",
@@ -108,11 +118,10 @@ def stratified_split(
     allow_rare: bool = False,
 ) -> DataFrame:
     """Add a ``split`` column: train, val or test. ``id_col`` must be unique."""
-    keys = df.select(
+    keys = df.where(F.col(label_id).isNotNull()).select(
         F.col(label_id).alias("label_id"), F.col(id_col).alias("row_id"), order_hash(id_col, seed).alias("h")
-    ).withColumn("cell", F.substring("h", 1, HASH_DIGITS))
-
-    cells = keys.groupBy("label_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    )
+    cells = keys.groupBy("label_id", F.substring("h", 1, COARSE).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     quotas = stratified_quotas(
         cells.groupBy("label_id").agg(F.sum("n").alias("n")),
         holdout_pct=holdout_pct, test_pct=test_pct, levels=levels, allow_rare=allow_rare,
@@ -125,29 +134,22 @@ def stratified_split(
         )).alias("c"),
     ).select("label_id", "c.cut", "c.rank")
 
-    in_label = Window.partitionBy("label_id").orderBy("cell")
-    reached = F.sum("n").over(in_label)
-    running = cells.select("label_id", "cell", reached.alias("reached"), (reached - F.col("n")).alias("before"))
-    cut_cells = (
-        running.join(F.broadcast(ranks), "label_id")
-        .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("reached")))
-        .select("label_id", "cell", "cut", (F.col("rank") - F.col("before")).alias("offset"))
-    )
+    coarse = _cells_at_rank(cells.join(F.broadcast(ranks), "label_id"))
+    finer = _rows_in(keys, coarse, COARSE).groupBy(
+        "label_id", "cut", "rank", F.substring("h", 1, FINE).alias("cell")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    fine = _cells_at_rank(finer)
 
-    # Two cuts per label at most, so this side is 2 * len(levels) rows.
-    near = keys.join(F.broadcast(cut_cells), ["label_id", "cell"])
     in_cell = Window.partitionBy("label_id", "cut").orderBy("h", "row_id")
     cuts = (
-        near.withColumn("rn", F.row_number().over(in_cell))
-        .where(F.col("rn") == F.col("offset"))
+        _rows_in(keys, fine, FINE)
+        .withColumn("rn", F.row_number().over(in_cell))
+        .where(F.col("rn") == F.col("rank"))
         .groupBy("label_id")
-        .pivot("cut", ["train", "val"])
-        .agg(F.first(F.struct("h", "row_id")))
-        .select(
-            F.col("label_id").alias(label_id),
-            F.col("train").alias("_train_end"),
-            F.col("val").alias("_val_end"),
-        )
+        .agg(*[
+            F.max(F.when(F.col("cut") == cut, F.struct("h", "row_id"))).alias(f"_{cut}_end") for cut in ("train", "val")
+        ])
+        .withColumnRenamed("label_id", label_id)
     )
 
     here = F.struct(order_hash(id_col, seed).alias("h"), F.col(id_col).alias("row_id"))
@@ -166,19 +168,33 @@ def stratified_split(
     )
 
 
+def _cells_at_rank(counts: DataFrame) -> DataFrame:
+    """The cell of each (label, cut) that holds the wanted rank, and the rank inside it."""
+    in_order = Window.partitionBy("label_id", "cut").orderBy("cell")
+    reached = F.sum("n").over(in_order)
+    running = counts.withColumn("reached", reached).withColumn("before", F.col("reached") - F.col("n"))
+    held = running.where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("reached")))
+    return held.select("label_id", "cut", "cell", (F.col("rank") - F.col("before")).alias("rank"))
+
+
+def _rows_in(keys: DataFrame, cells: DataFrame, digits: int) -> DataFrame:
+    """Rows of the given cells; ``cells`` has two rows per label at most."""
+    return keys.withColumn("cell", F.substring("h", 1, digits)).join(F.broadcast(cells), ["label_id", "cell"])
+
+
 def _ceil_pct(total: Column, pct: int) -> Column:
     return F.ceil(total * F.lit(pct) / F.lit(100)).cast(WIDE)
 
 
-def _largest_remainder(size: Column, draws: Column, total: Column) -> Column:
+def _largest_remainder(df: DataFrame, size: str, draws: str, total: str, out: str) -> DataFrame:
     """``size * draws / total`` rounded down, plus one for the largest remainders."""
-    scaled = (size * draws).cast(WIDE)
-    whole = F.when(total > 0, F.call_function("div", scaled, total)).otherwise(F.lit(0)).cast(WIDE)
-    rest = F.when(total > 0, scaled % total).otherwise(F.lit(0)).cast(WIDE)
-    by_rest = Window.partitionBy().orderBy(rest.desc(), F.col("label_id"))
-    missing = draws - F.sum(whole).over(Window.partitionBy())
-    return (whole + F.when(F.row_number().over(by_rest) <= missing, F.lit(1)).otherwise(F.lit(0))).cast(WIDE)
-
-
-def _refuse(value: Column, condition: Column, message: Column) -> Column:
-    return F.when(condition, F.raise_error(message).cast("long")).otherwise(value)
+    scaled = (F.col(size) * F.col(draws)).cast(WIDE)
+    some = F.col(total) > 0
+    shares = df.withColumns({
+        "whole": F.when(some, F.call_function("div", scaled, F.col(total))).otherwise(F.lit(0)).cast(WIDE),
+        "rest": F.when(some, scaled % F.col(total)).otherwise(F.lit(0)).cast(WIDE),
+    })
+    missing = F.col(draws) - F.sum("whole").over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(F.desc("rest"), "label_id"))
+    extra = F.when(place <= missing, F.lit(1)).otherwise(F.lit(0))
+    return shares.withColumn(out, (F.col("whole") + extra).cast(WIDE)).drop("whole", "rest")

@@ -17,7 +17,7 @@ from levelwise.functions.labels import LEVELS
 from levelwise.functions.scoring import argmax_label
 from levelwise.functions.text import WORD, words
 from levelwise.operators.encode import check_vocabulary_size, learn_vocabulary
-from levelwise.operators.metrics import LOSS_FLOOR, confusion_cells, evaluate_table
+from levelwise.operators.metrics import LOSS_FLOOR, evaluate_table
 from levelwise.operators.selection import select_best
 from levelwise.operators.weights import ALPHA, attach_class_weight, class_weights
 from levelwise.sources.staging import stage
@@ -27,6 +27,7 @@ HISTORY_SCHEMA = (
     "accuracy double, macro_f1 double"
 )
 
+CELL_SCHEMA = "candidate int, part string, y int, p int, n long, loss double, weight double"
 SETTINGS_SCHEMA = (
     "levels array<string>, num_classes int, num_features int, alpha double, use_class_weights boolean, "
     "aggregation_depth int, candidates array<map<string,double>>, best int, history array<array<double>>, "
@@ -69,67 +70,73 @@ class FittedClassifier:
 def fit_classifier(train: DataFrame, val: DataFrame, settings: FitSettings = FitSettings()) -> FittedClassifier:
     """Fit every candidate on ``train``, keep the best by validation macro F1.
 
-    Both frames have ``text`` and ``label_id``. Text is turned into features
+    Both frames have ``text`` and ``label_id``. Text is turned into word counts
     once, whole, and staged; each candidate then only iterates over the staged
-    vectors. The driver holds coefficients (``levels x num_features``) and the
-    one-row metrics, never rows.
+    vectors and is judged by one aggregation. The driver holds coefficients
+    (``levels x num_features``) and cell counts, never rows.
     """
     spark = train.sparkSession
     weights = class_weights(train, "label_id", settings.levels, settings.alpha)
     if not settings.use_class_weights:
         weights = weights.withColumn("weight", F.lit(1.0))
-    labelled = attach_class_weight(train.select("text", "label_id"), weights)
+    weighted = attach_class_weight(train.select("text", "label_id"), weights)
+    both = weighted.select("text", "label_id", "weight", F.lit("train").alias("part")).unionByName(
+        val.select("text", "label_id", F.lit(1.0).alias("weight"), F.lit("val").alias("part"))
+    )
     counter = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=settings.num_features),
-    ]).fit(labelled)
-    counted = stage(counter.transform(labelled).select("label_id", "weight", "counts"), "train-counts")
-    idf = IDF(inputCol="counts", outputCol="features").fit(counted)
-    train_rows = idf.transform(counted).select("label_id", "weight", "features")
-    val_counts = counter.transform(val.select("text", "label_id")).select("label_id", "counts")
-    val_rows = stage(idf.transform(val_counts).select("label_id", "features"), "val-features")
-
-    models, history = [], []
+    ]).fit(both)
+    counted = stage(counter.transform(both).select("part", "label_id", "weight", "counts"), "counts")
+    idf = IDF(inputCol="counts", outputCol="features").fit(counted.where(F.col("part") == "train"))
+    rows = idf.transform(counted)
+
+    models, cells = [], []
     for number, params in enumerate(settings.candidates, start=1):
-        estimator = LogisticRegression(
+        model = LogisticRegression(
             featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
-            aggregationDepth=settings.aggregation_depth,
-        ).copy()
-        model = estimator.setParams(**params).fit(train_rows)
+            aggregationDepth=settings.aggregation_depth, **params,
+        ).fit(rows.where(F.col("part") == "train"))
         models.append(model)
-        history.append((number, *_train_measures(model, train_rows), *_val_measures(model, val_rows)))
+        cells += [(number, *cell) for cell in _scored_cells(model, rows)]
 
+    history = _history(spark, cells)
     chosen = select_best(spark.createDataFrame(history, HISTORY_SCHEMA)).first()
     if chosen is None:
         raise NoUsefulCandidate("no candidate scored a macro F1 above zero on the validation rows")
     best = chosen["candidate"]
     fitted = PipelineModel([*counter.stages, idf, models[best - 1]])
-    return FittedClassifier(fitted, settings, best, tuple(history))
-
-
-def _scored(model, rows: DataFrame) -> DataFrame:
-    probability = vector_to_array("probability")
-    return model.transform(rows).withColumn("prob", probability).withColumn("p", argmax_label("prob"))
+    return FittedClassifier(fitted, settings, best, history)
 
 
-def _train_measures(model, rows: DataFrame) -> tuple[float, float, float]:
-    """Weighted loss, accuracy and macro F1 from one pass over the rows."""
-    p_true = F.get("prob", F.col("label_id"))
-    loss = -F.log(F.greatest(p_true, F.lit(LOSS_FLOOR)))
-    cells = (
-        _scored(model, rows)
-        .groupBy(F.col("label_id").alias("y"), "p")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * loss).alias("wl"), F.sum("weight").alias("w"))
-    ).collect()  # at most levels x levels rows
-    local = rows.sparkSession.createDataFrame([(r["y"], r["p"], r["n"]) for r in cells], "y int, p int, n long")
-    row = evaluate_table(local).first()
-    total = sum(r["w"] for r in cells)
-    return sum(r["wl"] for r in cells) / total, row["accuracy"], row["macro_f1"]
+def _scored_cells(model, rows: DataFrame) -> list[tuple]:
+    """Confusion cells of both parts with their weighted loss, in one pass.
 
-
-def _val_measures(model, rows: DataFrame) -> tuple[float, float]:
-    row = evaluate_table(confusion_cells(_scored(model, rows), "label_id", "p")).first()
-    return row["accuracy"], row["macro_f1"]
+    At most ``2 x levels x levels`` rows come back.
+    """
+    scored = model.transform(rows).withColumn("prob", vector_to_array("probability"))
+    loss = -F.log(F.greatest(F.get("prob", F.col("label_id")), F.lit(LOSS_FLOOR)))
+    cells = scored.groupBy("part", F.col("label_id").alias("y"), argmax_label("prob").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * loss).alias("loss"), F.sum("weight").alias("weight")
+    )
+    return [tuple(cell) for cell in cells.collect()]
+
+
+def _history(spark: SparkSession, cells: list[tuple]) -> tuple[tuple, ...]:
+    """One row per candidate: training loss, then accuracy and F1 of both parts."""
+    table = spark.createDataFrame(cells, CELL_SCHEMA)
+    measured = {
+        (row["candidate"], row["part"]): (row["accuracy"], row["macro_f1"])
+        for row in evaluate_table(table, by=("candidate", "part")).collect()
+    }
+    train_cells = [cell for cell in cells if cell[1] == "train"]
+    losses = {}
+    for candidate in sorted({cell[0] for cell in train_cells}):
+        own = [cell for cell in train_cells if cell[0] == candidate]
+        losses[candidate] = sum(cell[5] for cell in own) / sum(cell[6] for cell in own)
+    return tuple(
+        (c, loss, *measured[c, "train"], *measured.get((c, "val"), (None, None))) for c, loss in losses.items()
+    )
 
 
 def save_classifier(fitted: FittedClassifier, path: str) -> None:

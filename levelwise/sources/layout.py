@@ -1,0 +1,16 @@
+"""How a scan is spread over the cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small input enough partitions to keep every core busy.
+
+    A small file often is one row group, hence one task, whatever work follows.
+    Only an input with fewer splits than the cluster has cores is repartitioned;
+    a large table already has more and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
