@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS, encode_labels
@@ -65,20 +65,26 @@ def prepare_labelled(
     levels: Sequence[str] = LEVELS,
     on_unknown: str = "error",
     null_text: str = "drop",
-    dropped: Observation | None = None,
 ) -> DataFrame:
     """Add ``label_id`` and settle NULL text.
 
-    ``null_text='drop'`` removes such rows, ``'nan'`` keeps them as the word
-    ``nan``. With an ``Observation`` the number of NULL texts is counted in the
-    same pass as whatever job runs next (metric ``null_text``).
+    ``null_text='drop'`` removes such rows (:func:`null_text_count` says how
+    many), ``'nan'`` keeps them as the word ``nan``.
     """
     if null_text not in ("drop", "nan"):
         raise ValueError(f"null_text must be 'drop' or 'nan', got {null_text!r}")
-    if dropped is not None:
-        df = df.observe(dropped, F.count(F.when(F.col("text").isNull(), F.lit(1))).alias("null_text"))
     if null_text == "drop":
         df = df.where(F.col("text").isNotNull())
     else:
         df = df.withColumn("text", null_as_text("text"))
     return encode_labels(df, "label", "label_id", levels, on_unknown)
+
+
+def null_text_count(df: DataFrame) -> DataFrame:
+    """One row: rows in all and rows without text.
+
+    Reads the text column's nulls only. (An ``Observation`` would save this
+    pass, but its session state breaks the serialisation of fitted two-class
+    models afterwards.)
+    """
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("text").isNull(), F.lit(1))).alias("null_text"))
