@@ -69,7 +69,7 @@ def levels_table(spark: SparkSession, levels: Sequence[str] = LEVELS) -> DataFra
         T.StructField("label_id", T.IntegerType(), False),
         T.StructField("code", T.StringType(), False),
     ])
-    return spark.createDataFrame(list(enumerate(levels)), schema)
+    return spark.createDataFrame(list(enumerate(levels)), schema).coalesce(1)
 
 
 def levels_dim(spark: SparkSession) -> DataFrame:
@@ -80,7 +80,7 @@ def levels_dim(spark: SparkSession) -> DataFrame:
         T.StructField("name", T.StringType(), False),
         T.StructField("description", T.StringType(), False),
     ])
-    return spark.createDataFrame([(i, *info) for i, info in enumerate(LEVEL_INFO)], schema)
+    return spark.createDataFrame([(i, *info) for i, info in enumerate(LEVEL_INFO)], schema).coalesce(1)
 
 
 def attach_level_info(df: DataFrame, code: str = "cefr") -> DataFrame:

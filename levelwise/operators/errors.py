@@ -35,7 +35,10 @@ def top_errors(
     max_samples: int = MAX_SAMPLES,
     levels: Sequence[str] = LEVELS,
 ) -> DataFrame:
-    """The first misclassified rows in id order, with levels and a preview."""
+    """The first misclassified rows in id order, with levels and a preview.
+
+    ``text`` may hold previews already: the preview of a preview is itself.
+    """
     first = misclassified(df).orderBy(id_col).limit(max_samples)
     return first.select(
         id_col,

@@ -3,7 +3,8 @@
 ``confusion_cells`` reduces the scored rows to at most ``len(levels) ** 2``
 rows with a map-side-combined count. Every other metric is arithmetic on that
 table, so the rows are read once however many metrics are wanted and a
-dominant class costs no more than a rare one.
+dominant class costs no more than a rare one. Broadcast sides here are such
+aggregates: one row per level, or one per pair of levels.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def confusion_matrix(cells: DataFrame, levels: Sequence[str] = LEVELS) -> DataFr
         F.col("label_id").alias("true_id"), F.explode(ids).alias("pred_id")
     )
     found = cells.select(F.col("y").alias("true_id"), F.col("p").alias("pred_id"), "n")
-    return grid.join(found, ["true_id", "pred_id"], "left").select(
+    return grid.join(F.broadcast(found), ["true_id", "pred_id"], "left").select(
         "true_id", "pred_id", F.coalesce("n", F.lit(0)).alias("n")
     )
 
@@ -113,7 +114,7 @@ def classification_report(cells: DataFrame, levels: Sequence[str] = LEVELS) -> D
     zero. The macro row averages over all levels.
     """
     stats = class_stats(cells)
-    rows = levels_table(cells.sparkSession, levels).join(stats, "label_id", "left").select(
+    rows = levels_table(cells.sparkSession, levels).join(F.broadcast(stats), "label_id", "left").select(
         "label_id",
         "code",
         *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("tp", "support", "predicted")],
@@ -179,7 +180,7 @@ def class_distribution(cells: DataFrame, levels: Sequence[str] = LEVELS) -> Data
     zero = F.lit(0).cast("long")
     return (
         levels_table(cells.sparkSession, levels)
-        .join(stats, "label_id", "left")
+        .join(F.broadcast(stats), "label_id", "left")
         .select(
             "label_id",
             F.col("code").alias("level"),

@@ -108,6 +108,16 @@ def stratified_quotas(
 
 
 def stratified_split(
+    df: DataFrame, id_col: str = "id", label_id: str = "label_id", seed: int = SEED, **options
+) -> DataFrame:
+    """Add a ``split`` column: train, val or test. ``id_col`` must be unique.
+
+    ``options`` are those of :func:`split_cuts`.
+    """
+    return assign_split(df, split_cuts(df, id_col, label_id, seed, **options), id_col, label_id, seed)
+
+
+def split_cuts(
     df: DataFrame,
     id_col: str = "id",
     label_id: str = "label_id",
@@ -117,7 +127,7 @@ def stratified_split(
     levels: Sequence[str] = LEVELS,
     allow_rare: bool = False,
 ) -> DataFrame:
-    """Add a ``split`` column: train, val or test. ``id_col`` must be unique."""
+    """Last training and last validation row of each label: one row per label."""
     keys = df.where(F.col(label_id).isNotNull()).select(
         F.col(label_id).alias("label_id"), F.col(id_col).alias("row_id"), order_hash(id_col, seed).alias("h")
     )
@@ -141,7 +151,7 @@ def stratified_split(
     fine = _cells_at_rank(finer)
 
     in_cell = Window.partitionBy("label_id", "cut").orderBy("h", "row_id")
-    cuts = (
+    return (
         _rows_in(keys, fine, FINE)
         .withColumn("rn", F.row_number().over(in_cell))
         .where(F.col("rn") == F.col("rank"))
@@ -152,6 +162,11 @@ def stratified_split(
         .withColumnRenamed("label_id", label_id)
     )
 
+
+def assign_split(
+    df: DataFrame, cuts: DataFrame, id_col: str = "id", label_id: str = "label_id", seed: int = SEED
+) -> DataFrame:
+    """Compare every row with the cut points of its label; no row moves."""
     here = F.struct(order_hash(id_col, seed).alias("h"), F.col(id_col).alias("row_id"))
     no_label = F.raise_error(F.lit("stratified split: a row has no label")).cast("string")
     split = (

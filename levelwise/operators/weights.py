@@ -58,7 +58,7 @@ def class_weights(
     )
     return (
         levels_table(df.sparkSession, levels)
-        .join(observed, "label_id", "left")
+        .join(F.broadcast(observed), "label_id", "left")
         .select("label_id", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     )
 

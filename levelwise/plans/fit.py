@@ -20,7 +20,7 @@ from levelwise.operators.encode import check_vocabulary_size, learn_vocabulary
 from levelwise.operators.metrics import LOSS_FLOOR, evaluate_table
 from levelwise.operators.selection import select_best
 from levelwise.operators.weights import ALPHA, attach_class_weight, class_weights
-from levelwise.sources.staging import stage
+from levelwise.sources.staging import staged
 
 HISTORY_SCHEMA = (
     "candidate int, loss double, train_accuracy double, train_macro_f1 double, "
@@ -64,7 +64,7 @@ class FittedClassifier:
     history: tuple[tuple, ...] = field(default=())
 
     def history_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.history), HISTORY_SCHEMA)
+        return spark.createDataFrame(list(self.history), HISTORY_SCHEMA).coalesce(1)
 
 
 def fit_classifier(train: DataFrame, val: DataFrame, settings: FitSettings = FitSettings()) -> FittedClassifier:
@@ -87,21 +87,22 @@ def fit_classifier(train: DataFrame, val: DataFrame, settings: FitSettings = Fit
         RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=settings.num_features),
     ]).fit(both)
-    counted = stage(counter.transform(both).select("part", "label_id", "weight", "counts"), "counts")
-    idf = IDF(inputCol="counts", outputCol="features").fit(counted.where(F.col("part") == "train"))
-    rows = idf.transform(counted)
-
+    counts = counter.transform(both).select("part", "label_id", "weight", "counts")
     models, cells = [], []
-    for number, params in enumerate(settings.candidates, start=1):
-        model = LogisticRegression(
-            featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
-            aggregationDepth=settings.aggregation_depth, **params,
-        ).fit(rows.where(F.col("part") == "train"))
-        models.append(model)
-        cells += [(number, *cell) for cell in _scored_cells(model, rows)]
+    with staged(counts, "counts") as counted:
+        in_train = F.col("part") == "train"
+        idf = IDF(inputCol="counts", outputCol="features").fit(counted.where(in_train))
+        rows = idf.transform(counted)
+        for number, params in enumerate(settings.candidates, start=1):
+            model = LogisticRegression(
+                featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
+                aggregationDepth=settings.aggregation_depth, **params,
+            ).fit(rows.where(in_train))
+            models.append(model)
+            cells += [(number, *cell) for cell in _scored_cells(model, rows)]
 
     history = _history(spark, cells)
-    chosen = select_best(spark.createDataFrame(history, HISTORY_SCHEMA)).first()
+    chosen = select_best(spark.createDataFrame(history, HISTORY_SCHEMA).coalesce(1)).first()
     if chosen is None:
         raise NoUsefulCandidate("no candidate scored a macro F1 above zero on the validation rows")
     best = chosen["candidate"]
@@ -124,7 +125,7 @@ def _scored_cells(model, rows: DataFrame) -> list[tuple]:
 
 def _history(spark: SparkSession, cells: list[tuple]) -> tuple[tuple, ...]:
     """One row per candidate: training loss, then accuracy and F1 of both parts."""
-    table = spark.createDataFrame(cells, CELL_SCHEMA)
+    table = spark.createDataFrame(cells, CELL_SCHEMA).coalesce(1)
     measured = {
         (row["candidate"], row["part"]): (row["accuracy"], row["macro_f1"])
         for row in evaluate_table(table, by=("candidate", "part")).collect()

@@ -32,16 +32,16 @@ def summarise(scored: DataFrame) -> DataFrame:
 
 
 def evaluation_report(
-    scored: DataFrame, levels: Sequence[str] = LEVELS, max_samples: int = MAX_SAMPLES
+    scored: DataFrame, levels: Sequence[str] = LEVELS, max_samples: int = MAX_SAMPLES, text: str = "text"
 ) -> dict[str, DataFrame]:
     """The report's parts by name.
 
-    ``scored`` has ``id, text, y, p, confidence``. The cell summary is
+    ``scored`` has ``id, y, p, confidence`` and the text or its preview. The cell summary is
     aggregated once and kept (its size is bounded by the level count); only the
     list of sample errors reads the rows again, as a top-k.
     """
     spark = scored.sparkSession
-    cells = spark.createDataFrame([tuple(r) for r in summarise(scored).collect()], SUMMARY_SCHEMA)
+    cells = spark.createDataFrame([tuple(r) for r in summarise(scored).collect()], SUMMARY_SCHEMA).coalesce(1)
     return {
         "overall": metrics.evaluate_table(cells),
         "classification_report": metrics.classification_report(cells, levels),
@@ -50,7 +50,7 @@ def evaluation_report(
         "confidence_stats": _confidence_stats(cells),
         "confidence_buckets": _confidence_buckets(cells),
         "error_count": metrics.error_count(cells),
-        "top_errors": top_errors(scored, max_samples=max_samples, levels=levels),
+        "top_errors": top_errors(scored, text=text, max_samples=max_samples, levels=levels),
         "class_distribution": metrics.class_distribution(cells, levels),
     }
 
@@ -101,8 +101,8 @@ def _confidence_stats(cells: DataFrame) -> DataFrame:
     found = centred.groupBy("side").agg(
         F.sum("n").alias("n"), F.first("all_mean").alias("mean"), F.sqrt(ratio(spread, F.sum("n"))).alias("std")
     )
-    names = cells.sparkSession.createDataFrame([("overall",), ("correct",), ("incorrect",)], "side string")
-    return names.join(found, "side", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    names = cells.sparkSession.createDataFrame([("overall",), ("correct",), ("incorrect",)], "side string").coalesce(1)
+    return names.join(F.broadcast(found), "side", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def _confidence_buckets(cells: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from levelwise.functions.text import text_preview
 from levelwise.operators.score import score_table
-from levelwise.operators.split import SEED, stratified_split
+from levelwise.operators.split import SEED, assign_split, split_cuts
 from levelwise.operators.weights import counts_with_pct
 from levelwise.plans.fit import FitSettings, FittedClassifier, fit_classifier
 from levelwise.plans.report import evaluation_report
@@ -35,9 +36,15 @@ class TrainingRun:
 
 def split_labelled(labelled: DataFrame, seed: int = SEED, settings: FitSettings = FitSettings(),
                    allow_rare: bool = False) -> DataFrame:
-    """``id, text, label_id, split``, staged so the cut points are found once."""
+    """``id, text, label_id, split``.
+
+    Only the cut points (one row per level) are computed here and kept; the
+    text is not copied. Reading a part scans the source and compares keys.
+    """
     rows = labelled.select("id", "text", "label_id")
-    return stage(stratified_split(rows, seed=seed, levels=settings.levels, allow_rare=allow_rare), "split")
+    cuts = split_cuts(rows, seed=seed, levels=settings.levels, allow_rare=allow_rare)
+    kept = labelled.sparkSession.createDataFrame(cuts.collect(), cuts.schema).coalesce(1)
+    return assign_split(rows, kept, seed=seed)
 
 
 def score_labelled(fitted: FittedClassifier, rows: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def score_labelled(fitted: FittedClassifier, rows: DataFrame) -> DataFrame:
 
 def demo_predictions(spark: SparkSession, fitted: FittedClassifier) -> DataFrame:
     """Prediction records of the sample sentences."""
-    rows = spark.createDataFrame(list(enumerate(DEMO_TEXTS)), "pos int, sentence string")
+    rows = spark.createDataFrame(list(enumerate(DEMO_TEXTS)), "pos int, sentence string").coalesce(1)
     return prediction_records(score_table(fitted.model, rows, levels=fitted.settings.levels), ("pos",))
 
 
@@ -60,18 +67,20 @@ def train_and_evaluate(
     """Split 70/15/15, fit and select on train/val, report on test.
 
     ``labelled`` has ``id, text, label_id``. The test rows are scored once and
-    staged; the report and the returned table both read that.
+    staged with a preview of their text; the report and the returned table both
+    read that.
     """
     spark = labelled.sparkSession
     parts = split_labelled(labelled, seed, settings, allow_rare)
     fitted = fit_classifier(
         parts.where(F.col("split") == "train"), parts.where(F.col("split") == "val"), settings
     )
-    scored = stage(score_labelled(fitted, parts.where(F.col("split") == "test")), "scored-test")
+    scored = score_labelled(fitted, parts.where(F.col("split") == "test"))
+    scored = stage(scored.withColumn("preview", text_preview("text")).drop("text"), "scored-test")
     return TrainingRun(
         fitted=fitted,
         split_sizes=counts_with_pct(parts, "split"),
         scored_test=scored,
-        report=evaluation_report(scored, settings.levels),
+        report=evaluation_report(scored, settings.levels, text="preview"),
         demo=demo_predictions(spark, fitted),
     )
