@@ -37,12 +37,12 @@ def mean_pool(
     mask = F.lit(1) if mask is None else (F.col(mask) if isinstance(mask, str) else mask)
     m = mask.cast("double")
     rows = df.select(F.col(group), F.col(vector).alias("_vec"), m.alias("_mask"))
-    sums = [F.sum(F.get("_vec", F.lit(i)).cast("double") * F.col("_mask")).alias(f"s{i}") for i in range(dim)]
+    sums = [F.expr(f"sum(CAST(get(_vec, {i}) AS DOUBLE) * _mask) AS s{i}") for i in range(dim)]
     pooled = rows.groupBy(group).agg(F.sum("_mask").alias("_n"), *sums)
     divisor = F.greatest(F.coalesce("_n", F.lit(0.0)), F.lit(MIN_TOKENS))
-    return pooled.select(
-        group,
-        F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / divisor for i in range(dim)]).alias("pooled"),
+    totals = F.expr("array(" + ", ".join(f"coalesce(s{i}, 0.0D)" for i in range(dim)) + ")")
+    return pooled.select(group, divisor.alias("_divisor"), totals.alias("_totals")).select(
+        group, F.transform("_totals", lambda x: x / F.col("_divisor")).alias("pooled")
     )
 
 
@@ -52,7 +52,9 @@ def embed_text(
     """Text -> mean of the vectors of its known words; zeros when none is known.
 
     ``token_vectors`` is ``(token, vector)`` for a vocabulary bounded by
-    :data:`levelwise.operators.encode.MAX_VOCABULARY`, hence the broadcast.
+    :data:`levelwise.operators.encode.MAX_VOCABULARY`, hence the broadcast. A
+    text's words are summed where the text is read: the shuffle carries one
+    vector per text, not its words.
     """
     tokens = df.select(id_col, F.explode_outer(words(text)).alias("token"))
     found = tokens.join(F.broadcast(token_vectors.select("token", "vector")), "token", "left")

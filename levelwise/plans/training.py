@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelwise.functions.text import text_preview
+from levelwise.operators.metrics import confusion_cells, evaluate_table
 from levelwise.operators.score import score_table
 from levelwise.operators.split import SEED, assign_split, split_cuts
 from levelwise.operators.weights import counts_with_pct
@@ -55,6 +56,11 @@ def score_labelled(fitted: FittedClassifier, rows: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_classifier(fitted: FittedClassifier, rows: DataFrame) -> DataFrame:
+    """``n, accuracy, macro_f1`` of a fitted model on ``id, text, label_id`` rows."""
+    return evaluate_table(confusion_cells(score_labelled(fitted, rows)))
+
+
 def demo_predictions(spark: SparkSession, fitted: FittedClassifier) -> DataFrame:
     """Prediction records of the sample sentences."""
     rows = spark.createDataFrame(list(enumerate(DEMO_TEXTS)), "pos int, sentence string").coalesce(1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS, encode_labels
 from levelwise.functions.text import null_as_text
+from levelwise.sources.staging import stage
 
 
 class DatasetNotFound(FileNotFoundError):
@@ -31,9 +32,9 @@ def read_labelled(
     A CSV field may hold quotes and newlines. Such files cannot be split, so
     pass ``multi_line=False`` for CSV without embedded newlines, or use Parquet
     for large data. ``na_values`` lists texts to read as NULL; by default only
-    an empty field is. A file without ``id_col`` gets generated ids, which stay
-    the same only while the files and their partitioning do: stage the table
-    before relying on them.
+    an empty field is. A file without ``id_col`` gets generated ids. Those
+    would change with the file splits from one scan to the next, so such a table
+    is staged once, as Parquet, and read from there.
     """
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     try:
@@ -53,11 +54,13 @@ def read_labelled(
     missing = [name for name in (text, label) if name not in raw.columns]
     if missing:
         raise ValueError(f"labelled data at {path} has no column {missing}; found {raw.columns}")
-    row_id = F.col(id_col).cast("long") if id_col in raw.columns else F.monotonically_increasing_id()
+    has_id = id_col in raw.columns
+    row_id = F.col(id_col).cast("long") if has_id else F.monotonically_increasing_id()
     content = F.col(text).cast("string")
     if na_values:
         content = F.when(~content.isin(*na_values), content)
-    return raw.select(row_id.alias("id"), content.alias("text"), F.col(label).cast("string").alias("label"))
+    rows = raw.select(row_id.alias("id"), content.alias("text"), F.col(label).cast("string").alias("label"))
+    return rows if has_id else stage(rows, "labelled")
 
 
 def prepare_labelled(

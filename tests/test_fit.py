@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from levelwise.catalog import fixtures as fx
 from levelwise.functions.labels import LEVELS
-from levelwise.operators.metrics import confusion_cells, evaluate_table
 from levelwise.operators.score import predict_text, score_table
 from levelwise.operators.weights import attach_class_weight, class_weights
 from levelwise.plans import fit as ft
-from levelwise.plans.training import DEMO_TEXTS, demo_predictions, score_labelled, split_labelled, train_and_evaluate
+from levelwise.plans.training import (
+    DEMO_TEXTS, demo_predictions, evaluate_classifier, split_labelled, train_and_evaluate,
+)
 
 SETTINGS = ft.FitSettings(
     candidates=({"regParam": 0.5, "maxIter": 3}, {"regParam": 0.05, "maxIter": 60}), num_features=64)
@@ -31,8 +32,7 @@ def test_history_and_choice(spark, parts, fitted):
     assert [h[0] for h in fitted.history] == [1, 2]
     val_f1 = [h[5] for h in fitted.history]
     assert fitted.best == (2 if val_f1[1] > val_f1[0] else 1)
-    scored = score_labelled(fitted, parts.where("split = 'val'"))
-    again = evaluate_table(confusion_cells(scored)).first()
+    again = evaluate_classifier(fitted, parts.where("split = 'val'")).first()
     assert (again["accuracy"], again["macro_f1"]) == pytest.approx(fitted.history[fitted.best - 1][4:])
     assert fitted.history_table(spark).count() == 2
 
