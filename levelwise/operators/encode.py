@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ PAD, UNKNOWN, START, END = 0, 1, 2, 3
 SPECIAL_IDS = 4
 MAX_LENGTH = 128
 
-# The vocabulary is broadcast, so its size is bounded here.
+# Every task gets the vocabulary, so its size is bounded here.
 MAX_VOCABULARY = 131_072
 
 
@@ -43,28 +46,17 @@ def encode_corpus(
 ) -> DataFrame:
     """``id, input_ids, attention_mask`` with fixed-length arrays.
 
-    Words are cut to the ``max_length - 2`` that fit before anything moves, and
-    that short array is what gets shuffled, once: exploding, looking ids up in
-    the broadcast vocabulary and collecting the ids of a text all keep the
-    partitioning by id. A group is one text, at most ``max_length`` entries.
-    ``vocabulary`` comes from :func:`learn_vocabulary`, which bounds its size.
+    Words are cut to the ``max_length - 2`` that fit, then looked up inside
+    their row, so nothing is exploded, joined or shuffled. ``vocabulary`` comes
+    from :func:`learn_vocabulary`; it is collected here (its size is bounded)
+    and travels to the tasks as a constant.
     """
     if max_length < 3:
         raise ValueError("max_length must leave room for start, end and one word")
-    room = max_length - 2
-    tokens = df.select(id_col, *keep, F.slice(words(text), 1, room).alias("tokens")).repartition(id_col)
-    exploded = tokens.select(id_col, *keep, F.posexplode_outer("tokens").alias("pos", "token"))
-    known = vocabulary.select("token", "token_id")
-    looked_up = exploded.join(F.broadcast(known), "token", "left")
-    # posexplode_outer gives a text without words one row with a NULL position.
-    entry = F.when(
-        F.col("pos").isNotNull(),
-        F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id")),
-    )
-    grouped = looked_up.groupBy(id_col, *keep).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    body = F.transform("entries", lambda e: e["token_id"])
-    ids = F.concat(F.array(F.lit(START)), body, F.array(F.lit(END)))
-    with_ids = grouped.select(id_col, *keep, ids.alias("ids"))
+    token_id = _lookup(vocabulary)
+    body = F.transform(F.slice(words(text), 1, max_length - 2), token_id)
+    real = F.concat(F.array(F.lit(START)), F.coalesce(body, F.array().cast("array<int>")), F.array(F.lit(END)))
+    with_ids = df.select(id_col, *keep, real.alias("ids"))
     pads = F.lit(max_length) - F.size("ids")
     return with_ids.select(
         id_col,
@@ -74,6 +66,29 @@ def encode_corpus(
     )
 
 
+def _lookup(vocabulary: DataFrame) -> Callable[[Column], Column]:
+    """A column function from word to id.
+
+    A Spark map is searched from its start, so the words are spread by hash
+    over as many small maps as there are words: a lookup then takes constant
+    time.
+    """
+    bound = vocabulary.select("token", "token_id", F.hash("token").alias("hash")).limit(MAX_VOCABULARY + 1)
+    entries = bound.collect()
+    size = max(len(entries), 1)
+    check_vocabulary_size(size)
+    maps: list[dict[str, int]] = [{} for _ in range(size)]
+    for entry in entries:
+        maps[entry["hash"] % size][entry["token"]] = entry["token_id"]
+    constant = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+
+    def token_id(token: Column) -> Column:
+        small = F.get(constant, F.pmod(F.hash(token), F.lit(size)))
+        return F.coalesce(F.element_at(small, token), F.lit(UNKNOWN))
+
+    return token_id
+
+
 def real_tokens(mask: Column | str = "attention_mask") -> Column:
     """Number of unmasked positions."""
     mask = F.col(mask) if isinstance(mask, str) else mask

@@ -82,6 +82,12 @@ def test_encode_matches_brute_force(spark, length, size):
     assert [(r["input_ids"], r["attention_mask"]) for r in rows] == encoded(TEXTS, learned, length)
 
 
+def test_encode_with_an_empty_vocabulary(spark):
+    df = spark.createDataFrame([(0, "a b")], "id int, text string")
+    row = encode_corpus(df, learn_vocabulary(df, 5).limit(0), max_length=5).first()
+    assert row["input_ids"] == [2, 1, 1, 3, 0]
+
+
 def test_vocabulary_bound(spark):
     df = spark.createDataFrame([(0, "a")], "id int, text string")
     for size in (0, MAX_VOCABULARY + 1):
