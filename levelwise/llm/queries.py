@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from levelwise.llm import line_dedup
+from levelwise.llm import decontaminate, line_dedup
 from levelwise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
