@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from levelwise.llm import decontaminate, line_dedup, packing
+from levelwise.llm import decontaminate, line_dedup, packing, simhash
 from levelwise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
