@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from levelwise.llm import decontaminate, line_dedup, packing, simhash
+from levelwise.llm import chat, decontaminate, line_dedup, packing, simhash, warc
 from levelwise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_formatting": chat.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op10_warc": warc.SQL,
 }
