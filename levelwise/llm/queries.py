@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from levelwise.llm import chat, decontaminate, line_dedup, packing, simhash, warc
+from levelwise.llm import chat, decontaminate, line_dedup, maxscore, packing, simhash, warc
 from levelwise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -10,6 +10,7 @@ QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_exact_top_k": maxscore.op7_exact_top_k,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_warc": warc.op10_warc,
 }
@@ -17,6 +18,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": chat.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
+    "op7_exact_top_k": maxscore.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_warc": warc.SQL,
 }
