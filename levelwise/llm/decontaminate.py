@@ -165,8 +165,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Rows of ``docs`` without any word hit."""
     hit = contamination(docs, benchmark, width).filter("n_hit > 0").select("_did", "_tid")
-    keyed = docs.withColumns({"_did": doc_key(), "_tid": text_key()})
-    return keyed.join(hit, ["_did", "_tid"], "left_anti").drop("_did", "_tid")
+    keyed = docs.select(F.struct("*").alias("row"), doc_key().alias("_did"), text_key().alias("_tid"))
+    return keyed.join(hit, ["_did", "_tid"], "left_anti").select("row.*")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,33 +74,33 @@ def drop_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def apply_keep(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``docs`` with ``kept`` (text without its dropped lines), ``n_lines`` and ``n_dropped``."""
-    marked = docs.withColumns({"_did": doc_key(), "_tid": text_key()}).join(runs, ["_did", "_tid"], "left")
-    lines = lines_of()
+    """``row, n_lines, n_dropped, kept``: every row of ``docs`` as a struct, and its text without the dropped lines."""
+    keyed = docs.select(F.struct("*").alias("row"), doc_key().alias("_did"), text_key().alias("_tid"), lines_of().alias("lines"))
     starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["end"]))
-    ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.size(lines)))
-    slices = F.zip_with(starts, ends, lambda a, b: F.slice("_lines", a + 1, b - a))
-    kept = F.when(F.col("runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.flatten(slices), "\n"))
-    return (
-        marked.withColumn("_lines", lines)
-        .withColumns({
-            "kept": kept,
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"),
-        })
-        .drop("_did", "_tid", "_lines", "runs")
+    ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.size("lines")))
+    slices = F.zip_with(starts, ends, lambda a, b: F.slice("lines", a + 1, b - a))
+    whole = F.coalesce("row.text", F.lit(""))
+    return keyed.join(runs, ["_did", "_tid"], "left").select(
+        "row", F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("runs").isNull(), whole).otherwise(F.array_join(F.flatten(slices), "\n")).alias("kept"),
     )
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept`` per row of ``docs``."""
-    source = docs.select("doc_id", "text")
-    return apply_keep(source, drop_runs(source, min_chars)).select("doc_id", "n_lines", "n_dropped", "kept")
+    """``row, n_lines, n_dropped, kept`` per row of ``docs``."""
+    return apply_keep(docs, drop_runs(docs.select("doc_id", "text"), min_chars))
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the kept lines as text, and ``n_chars``, if there is such a column, counted anew."""
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    columns = [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return dedup_lines(docs, min_chars).select(*columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = dedup_lines(read(spark, sf_dir, "documents"))
-    return result.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    result = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return result.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = """

@@ -218,8 +218,8 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     groups = near_components(docs, radius)
     kept = groups.filter(F.col("_did") == F.col("component")).groupBy("component").agg(F.min(F.struct("_did", "_tid")).alias("k"))
     kept = kept.select("k._did", "k._tid")
-    keyed = docs.withColumns({"_did": doc_key(), "_tid": text_key()})
-    return keyed.join(kept, ["_did", "_tid"], "left_semi").dropDuplicates(["_did", "_tid"]).drop("_did", "_tid")
+    keyed = docs.select(F.struct("*").alias("row"), doc_key().alias("_did"), text_key().alias("_tid"))
+    return keyed.join(kept, ["_did", "_tid"], "left_semi").dropDuplicates(["_did", "_tid"]).select("row.*")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
