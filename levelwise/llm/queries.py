@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from levelwise.llm import chat, decontaminate, line_dedup, maxscore, packing, quality, simhash, warc
+from levelwise.llm import chat, decontaminate, line_dedup, maxscore, packing, quality, simhash, suffix_dedup, warc
 from levelwise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
