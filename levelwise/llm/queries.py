@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from levelwise.llm import chat, decontaminate, line_dedup, maxscore, packing, quality, simhash, suffix_dedup, warc
+from levelwise.llm import chat, decontaminate, line_dedup, maxscore, packing, quality, simhash, suffix_dedup, toxicity, warc
 from levelwise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -13,6 +13,7 @@ QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_exact_top_k": maxscore.op7_exact_top_k,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_warc": warc.op10_warc,
 }
