@@ -155,7 +155,7 @@ def mean_pool_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pooled.select("vec_id", F.posexplode("pooled").alias("i", "value")), "value")
 
 
-EMBED_WORDS, EMBED_DIM = 1000, 8
+EMBED_WORDS, EMBED_DIM, EMBED_BUCKETS = 1000, 8, 50
 
 
 def _fixed_vector() -> Column:
@@ -163,21 +163,26 @@ def _fixed_vector() -> Column:
 
 
 @query(f"""WITH words AS (
-  SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents),
+  SELECT doc_id AS id, unnest({fx.WORDS_SQL.format(text='text')}) AS token FROM documents),
 vocabulary AS (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM (
     SELECT token, count(*) AS n FROM words GROUP BY token ORDER BY n DESC, token LIMIT {EMBED_WORDS})),
-known AS (SELECT id, token_id, count(*) AS n FROM words JOIN vocabulary USING (token) GROUP BY id, token_id),
+known AS (
+  SELECT id, coalesce(token_id, 100000 + (unicode(token) * 31 + length(token)) % {EMBED_BUCKETS}) AS token_id, count(*) AS n
+  FROM words LEFT JOIN vocabulary USING (token) GROUP BY ALL),
 pooled AS (
   SELECT id, i, sum(n * (token_id * (i + 7) % 101) / 101.0::DOUBLE) / sum(n) AS value
   FROM known, (SELECT unnest(range({EMBED_DIM})) AS i) GROUP BY id, i)
 SELECT d.doc_id AS id, d.i::INT AS i, round(COALESCE(p.value, 0.0::DOUBLE), 6) AS value
 FROM (SELECT doc_id, unnest(range({EMBED_DIM})) AS i FROM documents) d LEFT JOIN pooled p ON p.id = d.doc_id AND p.i = d.i""")
 def embed_text_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the mean of given word vectors."""
-    docs = fx.level_docs(spark, sf_dir, whole_texts=True)
-    vectors = learn_vocabulary(docs, EMBED_WORDS).select("token", _fixed_vector().alias("vector"))
-    pooled = pooling.embed_text(docs, vectors, EMBED_DIM)
+    """Documents as the mean of given word vectors; words without one share the vectors of buckets."""
+    docs = fx.level_docs(spark, sf_dir)
+    own = learn_vocabulary(docs, EMBED_WORDS).select("token", "token_id")
+    shared = spark.range(EMBED_BUCKETS).select(
+        F.concat(F.lit("#"), F.col("id").cast("string")).alias("token"), (F.col("id") + 100_000).cast("int").alias("token_id"))
+    vectors = own.union(shared).select("token", _fixed_vector().alias("vector"))
+    pooled = pooling.embed_text(docs, vectors, EMBED_DIM, buckets=EMBED_BUCKETS)
     return rounded(pooled.select("id", F.posexplode("pooled").alias("i", "value")), "value")
 
 

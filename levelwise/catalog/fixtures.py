@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS, id_to_label
 from levelwise.functions.text import words
-from levelwise.sources.layout import spread
 
 # Lower length edges of levels 1..5.
 LENGTH_EDGES = (400, 1000, 2000, 4000, 8000)
 
 DIM = 64
+# The words of a text in SQL: letters, marks and digits of every script.
+WORDS_SQL = r"regexp_extract_all(lower({text}), '[\pL\pM\pN]+')"
 # Candidates of the selection queries: assumed characters per word.
 CANDIDATES = (3, 4, 5, 6, 7, 8)
 
@@ -29,18 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work on whole texts, on as many tasks as there are cores."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
 
 
 def length_level(chars: Column) -> Column:
     return sum(((chars >= edge).cast("int") for edge in LENGTH_EDGES[1:]), (chars >= LENGTH_EDGES[0]).cast("int"))
 
 
-def level_docs(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
-    """``id, text, n_chars, y``; ``whole_texts`` for queries that work through the text."""
-    docs = documents(spark, sf_dir) if whole_texts else table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), "text", "n_chars", length_level(F.col("n_chars")).alias("y"))
+def level_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, text, n_chars, y``"""
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "n_chars", length_level(F.col("n_chars")).alias("y"))
 
 
 def level_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +51,9 @@ def level_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled_docs(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
+def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text, label, label_id``"""
-    return level_docs(spark, sf_dir, whole_texts).select(
+    return level_docs(spark, sf_dir).select(
         "id", "text", id_to_label("y").alias("label"), F.col("y").alias("label_id")
     )
 

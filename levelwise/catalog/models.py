@@ -27,7 +27,7 @@ BEST_SQL = """best AS (
 
 
 def _fit(spark: SparkSession, sf_dir: str, settings: ft.FitSettings = ONE_CANDIDATE) -> ft.FittedClassifier:
-    parts = tr.split_labelled(fx.labelled_docs(spark, sf_dir, whole_texts=True), settings=settings, allow_rare=True)
+    parts = tr.split_labelled(fx.labelled_docs(spark, sf_dir), settings=settings, allow_rare=True)
     return ft.fit_classifier(
         parts.where(F.col("split") == "train"), parts.where(F.col("split") == "val"), settings)
 
@@ -54,7 +54,7 @@ def fit_classifier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a fitted model."""
     fitted = _fit(spark, sf_dir)
-    docs = fx.level_docs(spark, sf_dir, whole_texts=True).select("id", F.col("text").alias("sentence"))
+    docs = fx.level_docs(spark, sf_dir).select("id", F.col("text").alias("sentence"))
     return sc.score_table(fitted.model, docs).select("id", "sentence", "cefr", "confidence")
 
 
@@ -64,7 +64,7 @@ def saved_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "model")
     ft.fit_or_load(spark, path, lambda: _fit(spark, sf_dir))
     loaded = ft.load_classifier(spark, path, LEVELS)
-    docs = fx.level_docs(spark, sf_dir, whole_texts=True).select("id", F.col("text").alias("sentence"))
+    docs = fx.level_docs(spark, sf_dir).select("id", F.col("text").alias("sentence"))
     return sc.score_table(loaded.model, docs).select("id", "cefr", "confidence")
 
 
@@ -85,7 +85,7 @@ cleaned AS (SELECT request_id, pos, trim(sentence, {fx.ASCII_SPACE}) AS sentence
 valid AS (SELECT * FROM cleaned WHERE sentence <> ''),
 features AS (
   SELECT request_id, pos, [length(sentence) / 100.0::DOUBLE,
-         len(regexp_extract_all(lower(sentence), '[a-z]+')) / 10.0::DOUBLE,
+         len({fx.WORDS_SQL.format(text='sentence')}) / 10.0::DOUBLE,
          length(regexp_replace(sentence, '[^aeiou]', '', 'g')) / 50.0::DOUBLE,
          length(regexp_replace(sentence, '[^,]', '', 'g'))::DOUBLE] AS f FROM valid),
 {fx.head_sql("features", "request_id, pos", "f", 4, "sqrt(k + 1) / 1000.0::DOUBLE")},
@@ -120,9 +120,9 @@ def score_requests_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the mean of word vectors learned from them."""
-    docs = fx.level_docs(spark, sf_dir, whole_texts=True)
+    docs = fx.level_docs(spark, sf_dir)
     vectors = ft.learn_token_vectors(docs, VECTOR_WORDS, VECTOR_DIM)
-    return pooling.embed_text(docs, vectors, VECTOR_DIM)
+    return pooling.embed_text(docs, vectors, VECTOR_DIM, buckets=ft.VECTOR_BUCKETS)
 
 
 @query()
@@ -134,5 +134,5 @@ def demo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def train_and_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job; its report on the test rows as one long table."""
-    run = tr.train_and_evaluate(fx.labelled_docs(spark, sf_dir, whole_texts=True), ONE_CANDIDATE, allow_rare=True)
+    run = tr.train_and_evaluate(fx.labelled_docs(spark, sf_dir), ONE_CANDIDATE, allow_rare=True)
     return report_rows(run.report)

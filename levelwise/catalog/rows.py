@@ -102,14 +102,14 @@ def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.level_docs(spark, sf_dir).select("id", preview("text").alias("preview"))
 
 
-VOCABULARY_SQL = """vocabulary AS (
+VOCABULARY_SQL = f"""vocabulary AS (
   SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INT) AS token_id, n FROM (
     SELECT token, count(*) AS n FROM (
-      SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY token
-    ORDER BY n DESC, token LIMIT {size}))"""
+      SELECT unnest({fx.WORDS_SQL.format(text='text')}) AS token FROM documents) GROUP BY token
+    ORDER BY n DESC, token LIMIT {{size}}))"""
 
 ENCODE_SQL = f"""WITH {VOCABULARY_SQL}, words AS (
-  SELECT doc_id AS id, (regexp_extract_all(lower(text), '[a-z]+'))[1:{{room}}] AS w FROM documents),
+  SELECT doc_id AS id, ({fx.WORDS_SQL.format(text='text')})[1:{{room}}] AS w FROM documents),
 tokens AS (SELECT id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS pos FROM words),
 ids AS (
   SELECT t.id, list(COALESCE(v.token_id, 1) ORDER BY t.pos) AS body
@@ -123,7 +123,7 @@ FROM encoded"""
 
 
 def _encoded(spark: SparkSession, sf_dir: str, size: int, length: int) -> DataFrame:
-    docs = fx.level_docs(spark, sf_dir, whole_texts=True)
+    docs = fx.level_docs(spark, sf_dir)
     encoded = encode(docs, learn(docs, size), max_length=length)
     return encoded.select(
         "id", real_tokens().alias("n_tokens"), F.array_join("input_ids", " ").alias("input_ids")
@@ -133,7 +133,7 @@ def _encoded(spark: SparkSession, sf_dir: str, size: int, length: int) -> DataFr
 @query("WITH " + VOCABULARY_SQL.format(size=1000) + " SELECT token, token_id, n FROM vocabulary")
 def learn_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 1,000 most frequent words of the corpus."""
-    return learn(fx.level_docs(spark, sf_dir, whole_texts=True), 1000)
+    return learn(fx.level_docs(spark, sf_dir), 1000)
 
 
 @query(ENCODE_SQL.format(size=200, room=14, length=16))
@@ -167,14 +167,14 @@ def linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PROB_SQL} SELECT vec_id, k::INT AS k, round(p, 6) AS p FROM probs")
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probs = _logits(spark, sf_dir).withColumn("probs", scoring.softmax("logits"))
+    probs = _logits(spark, sf_dir).withColumn("probs", scoring.softmax("logits", len(LEVELS)))
     return probs.select("vec_id", F.posexplode("probs").alias("k", "p")).withColumn("p", F.round("p", 6))
 
 
 @query(f"WITH {PROB_SQL} SELECT vec_id, round(max(p), 6) AS confidence FROM probs GROUP BY vec_id")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logits(spark, sf_dir).select(
-        "vec_id", F.round(scoring.confidence(scoring.softmax("logits")), 6).alias("confidence"))
+        "vec_id", F.round(scoring.confidence(scoring.softmax("logits", len(LEVELS))), 6).alias("confidence"))
 
 
 @query(f"""WITH {HEAD}
@@ -229,7 +229,7 @@ def misclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins -------------------------------------------------------------------
 
 @query(f"""WITH {fx.PRED_SQL}
-SELECT d.id, d.y, r.p, r.confidence, r.p = d.y AS correct,
+SELECT d.id, d.y, r.p, r.confidence, r.p = d.y AS correct, CAST(NULL AS VARCHAR) AS missing,
        CASE WHEN length(d.text) > 100 THEN substring(d.text, 1, 100) || '...' ELSE d.text END AS preview
 FROM level_docs d JOIN level_pred r ON r.id = d.id""")
 def align_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

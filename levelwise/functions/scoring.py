@@ -9,8 +9,6 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from levelwise.functions.labels import LEVELS
-
 
 def linear_head(
     features: Column | str,
@@ -27,20 +25,34 @@ def linear_head(
         products = F.zip_with(features, F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w)
         return F.aggregate(products, F.lit(float(intercept)), add)
 
-    return F.array(*[logit(row, b) for row, b in zip(weights, bias)])
+    widths = {len(row) for row in weights}
+    if len(widths) != 1:
+        raise ValueError("all rows of weights need the same length")
+    return of_length(features, widths.pop(), F.array(*[logit(row, b) for row, b in zip(weights, bias)]))
+
+
+def of_length(values: Column, length: int, result: Column) -> Column:
+    """``result`` where ``values`` has ``length`` entries, NULL where it is NULL; any other length fails the job."""
+    wrong = F.raise_error(F.concat(F.lit(f"expected {length} values, got "), F.size(values).cast("string")))
+    return F.when(values.isNull(), F.lit(None)).when(F.size(values) == length, result).otherwise(wrong)
 
 
-def softmax(logits: Column | str, num_classes: int = len(LEVELS)) -> Column:
+def softmax(logits: Column | str, num_classes: int | None = None) -> Column:
     """Probabilities from logits, shifted by the maximum.
 
-    The class count is fixed, so each exponential is a plain scalar
-    expression: it stays in generated code and is computed once.
+    With a class count each exponential is a plain scalar expression: it stays
+    in generated code and is computed once, and other lengths fail. Without one
+    the length of each array is used.
     """
     logits = _col(logits)
     peak = F.array_max(logits)
+    if num_classes is None:
+        powers = F.transform(logits, lambda x: F.exp(x - peak))
+        shares = F.transform(F.array(powers), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), add)))
+        return F.when(logits.isNotNull(), F.get(shares, 0))
     parts = [F.exp(F.get(logits, k) - peak) for k in range(num_classes)]
     total = reduce(add, parts)
-    return F.when(logits.isNotNull(), F.array(*[part / total for part in parts]))
+    return of_length(logits, num_classes, F.array(*[part / total for part in parts]))
 
 
 def confidence(probability: Column | str) -> Column:

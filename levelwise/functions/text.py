@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ WHITESPACE = (
 PREVIEW_CHARS = 100
 PREVIEW_MARK = "..."
 
-WORD = "[a-z]+"
+# Letters, marks and digits of every script make words.
+WORD = r"[\pL\pM\pN]+"
+MARK = r"\pM+"
 
 
 def clean_text(text: Column | str) -> Column:
@@ -42,9 +46,24 @@ def text_preview(text: Column | str, chars: int = PREVIEW_CHARS) -> Column:
     ).otherwise(text)
 
 
-def words(text: Column | str) -> Column:
-    """Lower-cased ASCII words of the whole text, in order."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), 0)
+def words(text: Column | str, fold: bool = False) -> Column:
+    """Lower-cased words of the whole text, in order; ``fold`` takes accents off Latin letters."""
+    lowered = F.lower(_col(text))
+    return F.regexp_extract_all(fold_accents(lowered) if fold else lowered, F.lit(WORD), 0)
+
+
+def fold_accents(text: Column | str) -> Column:
+    """Latin letters without their accents, composed or not; other scripts keep their letters."""
+    accented, plain = _accents()
+    return F.regexp_replace(F.translate(_col(text), accented, plain), MARK, "")
+
+
+def _accents() -> tuple[str, str]:
+    """Accented Latin letters that decompose into an ASCII letter, and those letters."""
+    latin = [chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in latin]
+    pairs = [(c, base) for c, base in pairs if c != base and base.isascii()]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
 
 
 def _col(text: Column | str) -> Column:

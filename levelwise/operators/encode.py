@@ -10,13 +10,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from levelwise.functions.text import words
+from levelwise.sources.staging import stage
 
 # Special token ids and default length.
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
 SPECIAL_IDS = 4
 MAX_LENGTH = 128
 
-# Every task gets the vocabulary, so its size is bounded here.
+# Largest vocabulary that travels to the tasks as a constant; larger ones are joined.
 MAX_VOCABULARY = 131_072
 
 
@@ -24,16 +25,27 @@ def learn_vocabulary(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     """``(token, token_id)`` of the most frequent words; ties go to the smaller word.
 
     Counts are combined before the shuffle, so a word that fills a third of the
-    corpus is one row per task. Ranking happens on the ``size`` winners only.
+    corpus is one row per task. The count of the last winner follows from the
+    counts of counts; words that reach it are sorted by range and numbered within
+    their range, so no task sees more than its share, however many are wanted.
     """
-    check_vocabulary_size(size)
-    counts = df.select(F.explode(words(text)).alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n")
+    if size < 1:
+        raise ValueError(f"vocabulary size must be positive, got {size}")
+    counts = stage(
+        df.select(F.explode(words(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "word-counts"
     )
-    order = [F.desc("n"), F.asc("token")]
-    rank = F.row_number().over(Window.orderBy(*order))
-    top = counts.orderBy(*order).limit(size)
-    return top.select("token", (rank + (SPECIAL_IDS - 1)).cast("int").alias("token_id"), "n")
+    # One row per distinct count: about the square root of the corpus at most.
+    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("tied"))
+    above = F.sum("tied").over(Window.orderBy(F.desc("n"))) - F.col("tied")
+    cut = by_count.withColumn("above", above).where(F.col("above") < size).agg(F.min("n")).first()[0]
+    reached = counts.where(F.col("n") >= (cut or 0)).orderBy(F.desc("n"), "token")
+    ranges = stage(reached.withColumn("range", F.spark_partition_id()), "ranked-words")
+    sizes = {r["range"]: r["count"] for r in ranges.groupBy("range").count().collect()}
+    starts = [(r, sum(n for other, n in sizes.items() if other < r)) for r in sizes]
+    before = df.sparkSession.createDataFrame(starts, "range int, before long").coalesce(1)
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("n"), "token")) + F.col("before")
+    numbered = ranges.join(F.broadcast(before), "range").withColumn("rank", rank).where(F.col("rank") <= size)
+    return numbered.select("token", (F.col("rank") + (SPECIAL_IDS - 1)).cast("int").alias("token_id"), "n")
 
 
 def encode_corpus(
@@ -48,15 +60,21 @@ def encode_corpus(
 
     Words are cut to the ``max_length - 2`` that fit, then looked up inside
     their row, so nothing is exploded, joined or shuffled. ``vocabulary`` comes
-    from :func:`learn_vocabulary`; it is collected here (its size is bounded)
-    and travels to the tasks as a constant.
+    from :func:`learn_vocabulary`; up to :data:`MAX_VOCABULARY` words it travels
+    to the tasks as a constant, a larger one is joined by word.
     """
     if max_length < 3:
         raise ValueError("max_length must leave room for start, end and one word")
-    token_id = _lookup(vocabulary)
-    body = F.transform(F.slice(words(text), 1, max_length - 2), token_id)
-    real = F.concat(F.array(F.lit(START)), F.coalesce(body, F.array().cast("array<int>")), F.array(F.lit(END)))
-    with_ids = df.select(id_col, *keep, real.alias("ids"))
+    first = F.slice(words(text), 1, max_length - 2)
+    if vocabulary.limit(MAX_VOCABULARY + 1).count() <= MAX_VOCABULARY:
+        rows = df.select(id_col, *keep, F.transform(first, lookup(vocabulary)).alias("body"))
+    else:
+        tokens = df.select(id_col, F.posexplode(first).alias("pos", "token")).join(vocabulary.select("token", "token_id"), "token", "left")
+        placed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id"))))
+        bodies = tokens.groupBy(id_col).agg(F.transform(placed, lambda t: t["token_id"]).alias("body"))
+        rows = df.select(id_col, *keep).join(bodies, id_col, "left")
+    real = F.concat(F.array(F.lit(START)), F.coalesce("body", F.array().cast("array<int>")), F.array(F.lit(END)))
+    with_ids = rows.select(id_col, *keep, real.alias("ids"))
     pads = F.lit(max_length) - F.size("ids")
     return with_ids.select(
         id_col,
@@ -66,17 +84,15 @@ def encode_corpus(
     )
 
 
-def _lookup(vocabulary: DataFrame) -> Callable[[Column], Column]:
+def lookup(vocabulary: DataFrame) -> Callable[[Column], Column]:
     """A column function from word to id.
 
     A Spark map is searched from its start, so the words are spread by hash
     over as many small maps as there are words: a lookup then takes constant
     time.
     """
-    bound = vocabulary.select("token", "token_id", F.hash("token").alias("hash")).limit(MAX_VOCABULARY + 1)
-    entries = bound.collect()
+    entries = vocabulary.select("token", "token_id", F.hash("token").alias("hash")).collect()
     size = max(len(entries), 1)
-    check_vocabulary_size(size)
     maps: list[dict[str, int]] = [{} for _ in range(size)]
     for entry in entries:
         maps[entry["hash"] % size][entry["token"]] = entry["token_id"]
@@ -95,6 +111,8 @@ def real_tokens(mask: Column | str = "attention_mask") -> Column:
     return F.aggregate(mask, F.lit(0), lambda total, m: total + m)
 
 
-def check_vocabulary_size(size: int) -> None:
-    if not 0 < size <= MAX_VOCABULARY:
-        raise ValueError(f"vocabulary size must be between 1 and {MAX_VOCABULARY}, got {size}")
+def bucket(word: Column | str, buckets: int) -> Column:
+    """Name of the bucket of a word outside a vocabulary; no word has such a name."""
+    word = F.col(word) if isinstance(word, str) else word
+    number = F.pmod(F.ascii(word) * 31 + F.length(word), F.lit(buckets))
+    return F.concat(F.lit("#"), number.cast("string"))

@@ -18,10 +18,18 @@ MAX_SAMPLES = 10
 def align_predictions(truth: DataFrame, predictions: DataFrame, id_col: str = "id") -> DataFrame:
     """Truth and predictions of the same id in one row.
 
-    A plain equi-join on a unique id: Catalyst broadcasts a small side and
-    sort-merges two large ones, and prunes the text when it is not used.
+    A plain equi-join on a unique id that prunes the text when it is not used.
+    Ids on one side only stay: ``missing`` names the absent side and
+    ``correct`` is false.
     """
-    return truth.join(predictions, id_col).withColumn("correct", correct_flag("p", "y"))
+    left = truth.withColumn("_truth", F.lit(True))
+    right = predictions.withColumn("_predicted", F.lit(True))
+    missing = F.when(F.col("_truth").isNull(), "truth").when(F.col("_predicted").isNull(), "prediction")
+    return (
+        left.join(right, id_col, "full")
+        .withColumns({"correct": F.coalesce(correct_flag("p", "y"), F.lit(False)), "missing": missing})
+        .drop("_truth", "_predicted")
+    )
 
 
 def misclassified(df: DataFrame) -> DataFrame:

@@ -24,11 +24,39 @@ ACCURACY, MACRO, WEIGHTED = "accuracy", "macro avg", "weighted avg"
 LOSS_FLOOR = 1e-15
 
 
-def confusion_cells(df: DataFrame, truth: str = "y", predicted: str = "p", by: Sequence[str] = ()) -> DataFrame:
-    """Non-empty cells ``(y, p, n)``, optionally per group of ``by``."""
-    return df.groupBy(*by, F.col(truth).alias("y"), F.col(predicted).alias("p")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def confusion_cells(
+    df: DataFrame, truth: str = "y", predicted: str = "p", by: Sequence[str] = (), levels: Sequence[str] = LEVELS,
+    outside: str = "error",
+) -> DataFrame:
+    """Non-empty cells ``(y, p, n)``, optionally per group of ``by``.
+
+    Every metric starts here, so all of them see the same labels: one that is
+    NULL or no index of ``levels`` fails the job, or with ``outside="drop"``
+    leaves its row out (:func:`outside_count` tells how many).
+    """
+    if outside not in ("error", "drop"):
+        raise ValueError("outside must be 'error' or 'drop'")
+    if outside == "drop":
+        df = df.where(_inside(truth, len(levels)) & _inside(predicted, len(levels)))
+    y = checked_truth(truth, predicted, levels)
+    return df.groupBy(*by, y.alias("y"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def checked_truth(truth: str = "y", predicted: str = "p", levels: Sequence[str] = LEVELS) -> Column:
+    """The true label; a row where it or the prediction is NULL or no index of ``levels`` fails the job."""
+    known = _inside(truth, len(levels)) & _inside(predicted, len(levels))
+    pair = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in (truth, predicted)])
+    return F.when(known, F.col(truth)).otherwise(F.raise_error(F.concat(F.lit("label outside the levels: "), pair)))
+
+
+def outside_count(df: DataFrame, truth: str = "y", predicted: str = "p", levels: Sequence[str] = LEVELS) -> DataFrame:
+    """``n, outside``: rows, and those whose truth or prediction is NULL or no index of ``levels``."""
+    known = _inside(truth, len(levels)) & _inside(predicted, len(levels))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~known, 1)).alias("outside"))
+
+
+def _inside(label: str, n: int) -> Column:
+    return F.coalesce((F.col(label) >= 0) & (F.col(label) < n), F.lit(False))
 
 
 def confusion_matrix(cells: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
@@ -48,9 +76,7 @@ def confusion_wide(cells: DataFrame, levels: Sequence[str] = LEVELS) -> DataFram
     dense = confusion_matrix(cells, levels)
     counts = [F.sum(F.when(F.col("pred_id") == i, F.col("n"))).alias(level) for i, level in enumerate(levels)]
     code = F.get(F.array(*[F.lit(level) for level in levels]), F.col("true_id"))
-    return dense.groupBy("true_id").agg(*counts).select(
-        code.alias("true_level"), *levels
-    ).orderBy("true_level")
+    return dense.groupBy("true_id").agg(*counts).orderBy("true_id").select(code.alias("true_level"), *levels)
 
 
 def class_stats(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:

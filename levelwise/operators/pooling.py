@@ -7,7 +7,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from levelwise.functions.scoring import of_length
 from levelwise.functions.text import words
+from levelwise.operators.encode import MAX_VOCABULARY, bucket
 
 # Fixed value: smallest divisor, so an all-masked group pools to zeros.
 MIN_TOKENS = 1e-9
@@ -17,8 +19,11 @@ def mean_pool_nested(vectors: Column | str, mask: Column | str, dim: int) -> Col
     """Mean of the unmasked vectors of one row (array of vectors plus 0/1 mask)."""
     vectors = (F.col(vectors) if isinstance(vectors, str) else vectors).cast("array<array<double>>")
     mask = (F.col(mask) if isinstance(mask, str) else mask).cast("array<double>")
-    masked = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x * m))
     zeros = F.array_repeat(F.lit(0.0), dim)
+    # A missing vector counts as masked, one of another length fails the job.
+    mask = F.zip_with(vectors, mask, lambda v, m: F.when(v.isNull(), F.lit(0.0)).otherwise(m))
+    vectors = F.transform(vectors, lambda v: F.coalesce(of_length(v, dim, v), zeros))
+    masked = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x * m))
     summed = F.aggregate(masked, zeros, lambda total, v: F.zip_with(total, v, add))
     count = F.greatest(F.aggregate(mask, F.lit(0.0), add), F.lit(MIN_TOKENS))
     # A one-element array binds the divisor, so it is computed once per row.
@@ -32,11 +37,12 @@ def mean_pool(
 
     Sums and counts are plain decomposable aggregates, combined on the map side:
     a group holding a third of all tokens still sends one row per task. A group
-    whose mask is all zero keeps its row and pools to zeros.
+    whose mask is all zero keeps its row and pools to zeros. A missing vector
+    counts as masked; a vector of another length than ``dim`` fails the job.
     """
     mask = F.lit(1) if mask is None else (F.col(mask) if isinstance(mask, str) else mask)
-    m = mask.cast("double")
-    rows = df.select(F.col(group), F.col(vector).alias("_vec"), m.alias("_mask"))
+    m = F.when(F.col(vector).isNull(), F.lit(0.0)).otherwise(mask.cast("double"))
+    rows = df.select(F.col(group), of_length(F.col(vector), dim, F.col(vector)).alias("_vec"), m.alias("_mask"))
     sums = [F.expr(f"sum(CAST(get(_vec, {i}) AS DOUBLE) * _mask) AS s{i}") for i in range(dim)]
     pooled = rows.groupBy(group).agg(F.sum("_mask").alias("_n"), *sums)
     divisor = F.greatest(F.coalesce("_n", F.lit(0.0)), F.lit(MIN_TOKENS))
@@ -47,17 +53,26 @@ def mean_pool(
 
 
 def embed_text(
-    df: DataFrame, token_vectors: DataFrame, dim: int, id_col: str = "id", text: str = "text"
+    df: DataFrame, token_vectors: DataFrame, dim: int, id_col: str = "id", text: str = "text", buckets: int = 0
 ) -> DataFrame:
     """Text -> mean of the vectors of its known words; zeros when none is known.
 
-    ``token_vectors`` is ``(token, vector)`` for a vocabulary bounded by
-    :data:`levelwise.operators.encode.MAX_VOCABULARY`, hence the broadcast. A
-    text's words are summed where the text is read: the shuffle carries one
-    vector per text, not its words.
+    ``token_vectors`` is ``(token, vector)``; up to
+    :data:`levelwise.operators.encode.MAX_VOCABULARY` rows, which are counted,
+    it is broadcast and a text's words are summed where the text is read: the
+    shuffle carries one vector per text, not its words. Beyond that it is joined.
+
+    Vectors named by :func:`bucket` stand in for the words that have none.
     """
+    vectors = token_vectors.select("token", "vector")
+    if vectors.count() <= MAX_VOCABULARY:
+        vectors = F.broadcast(vectors)
     tokens = df.select(id_col, F.explode_outer(words(text)).alias("token"))
-    found = tokens.join(F.broadcast(token_vectors.select("token", "vector")), "token", "left")
+    found = tokens.join(vectors, "token", "left")
+    if buckets:
+        spare = vectors.select(F.col("token").alias("bucket"), F.col("vector").alias("spare"))
+        found = found.withColumn("bucket", F.when(F.col("vector").isNull(), bucket("token", buckets))).join(spare, "bucket", "left")
+        found = found.withColumn("vector", F.coalesce("vector", "spare"))
     known = F.col("vector").isNotNull().cast("int")
     filled = found.select(id_col, known.alias("known"), F.col("vector"))
     return mean_pool(filled, dim, id_col, "vector", "known")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from levelwise.functions.labels import LEVELS
 from levelwise.functions.scoring import argmax_label
 from levelwise.functions.text import WORD, words
-from levelwise.operators.encode import check_vocabulary_size, learn_vocabulary
+from levelwise.operators.encode import MAX_VOCABULARY, UNKNOWN, bucket, learn_vocabulary, lookup
 from levelwise.operators.metrics import LOSS_FLOOR, evaluate_table
 from levelwise.operators.selection import select_best
 from levelwise.operators.weights import ALPHA, attach_class_weight, class_weights
@@ -34,6 +34,7 @@ SETTINGS_SCHEMA = (
     "spark_version string"
 )
 INTEGER_PARAMS = ("maxIter",)
+VECTOR_PARTITIONS, VECTOR_BUCKETS = 8, 64
 
 
 class NoUsefulCandidate(RuntimeError):
@@ -191,23 +192,26 @@ def fit_or_load(spark: SparkSession, path: str, fit: Callable[[], FittedClassifi
 
 
 def learn_token_vectors(
-    df: DataFrame, vocabulary_size: int, dim: int, text: str = "text", seed: int = 42, partitions: int | None = None
+    df: DataFrame, vocabulary_size: int, dim: int, text: str = "text", seed: int = 42, partitions: int = VECTOR_PARTITIONS,
+    buckets: int = VECTOR_BUCKETS,
 ) -> DataFrame:
-    """``(token, vector)`` learned from the corpus for its most frequent words.
+    """``(token, vector)`` learned from the corpus for its most frequent words and for buckets of all other words.
 
-    The minimum count is set just above the count of the first word that does
-    not fit, so at most ``vocabulary_size`` words are learned: that bounds what
-    the fit keeps on the driver and what is broadcast later. The fit is spread
-    over as many tasks as the cluster runs at once, not the default single one.
+    Exactly the first ``vocabulary_size`` words of :func:`learn_vocabulary` have
+    a vector of their own; every other word is read as its bucket, so no word is
+    lost. Vectors are averaged over ``partitions`` parts of the corpus, a fixed
+    number: they do not depend on the cluster.
     """
-    check_vocabulary_size(vocabulary_size + 1)
-    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    found, rarest = learn_vocabulary(df, vocabulary_size + 1, text).agg(F.count(F.lit(1)), F.min("n")).first()
-    min_count = rarest + 1 if found > vocabulary_size else 1
-    sentences = df.select(words(text).alias("words"))
+    if not 0 < vocabulary_size <= MAX_VOCABULARY:
+        raise ValueError(f"vocabulary size must be between 1 and {MAX_VOCABULARY}, got {vocabulary_size}")
+    token_id = lookup(learn_vocabulary(df, vocabulary_size, text))
+    named = F.transform(words(text), lambda w: F.when(token_id(w) == UNKNOWN, bucket(w, buckets)).otherwise(w))
+    # Rows go to the parts by a hash of their words, in a fixed order within each.
+    sentences = df.select(named.alias("words")).where(F.size("words") > 0)
+    dealt = sentences.repartition(partitions, F.xxhash64("words")).sortWithinPartitions(F.xxhash64("words"))
     learned = Word2Vec(
-        vectorSize=dim, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=1, inputCol="words", outputCol="v"
-    ).fit(sentences)
+        vectorSize=dim, minCount=1, seed=seed, numPartitions=partitions, maxIter=1, inputCol="words", outputCol="v"
+    ).fit(dealt)
     return learned.getVectors().select(
         F.col("word").alias("token"), vector_to_array("vector").alias("vector")
     )

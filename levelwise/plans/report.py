@@ -16,14 +16,14 @@ from levelwise.operators.errors import MAX_SAMPLES, top_errors
 SUMMARY_SCHEMA = "y int, p int, n long, mean double, var double, high long, medium long, low long"
 
 
-def summarise(scored: DataFrame) -> DataFrame:
+def summarise(scored: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
     """At most ``levels x levels`` rows that hold all the report needs.
 
     Each cell carries its count, the mean and population variance of its
     confidences and its count per confidence band.
     """
     band = confidence_band(F.col("confidence"))
-    return scored.groupBy("y", "p").agg(
+    return scored.groupBy(metrics.checked_truth(levels=levels).alias("y"), "p").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("confidence").alias("mean"),
         F.var_pop("confidence").alias("var"),
@@ -41,7 +41,7 @@ def evaluation_report(
     list of sample errors reads the rows again, as a top-k.
     """
     spark = scored.sparkSession
-    cells = spark.createDataFrame([tuple(r) for r in summarise(scored).collect()], SUMMARY_SCHEMA).coalesce(1)
+    cells = spark.createDataFrame([tuple(r) for r in summarise(scored, levels).collect()], SUMMARY_SCHEMA).coalesce(1)
     return {
         "overall": metrics.evaluate_table(cells),
         "classification_report": metrics.classification_report(cells, levels),

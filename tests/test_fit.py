@@ -78,7 +78,7 @@ def test_scores(spark, sf_dir, fitted):
         assert sum(r["probability"]) == pytest.approx(1.0)
         assert r["confidence"] == max(r["probability"]) >= 1 / 6 - 1e-12
         assert r["cefr"] == LEVELS[r["pred_id"]]
-    level, confidence = predict_text(spark, fitted.model, "I like cats.")
+    level, confidence = predict_text(spark, fitted.model, DEMO_TEXTS[0])
     demo = demo_predictions(spark, fitted).orderBy("pos").collect()
     assert [r["sentence"] for r in demo] == list(DEMO_TEXTS)
     assert (demo[0]["cefr"], demo[0]["confidence"]) == (level, confidence)
@@ -118,6 +118,16 @@ def test_whole_job(spark, sf_dir):
 
 def test_token_vectors(spark, sf_dir):
     docs = fx.level_docs(spark, sf_dir)
-    vectors = ft.learn_token_vectors(docs, vocabulary_size=50, dim=4, partitions=2)
+    vectors = ft.learn_token_vectors(docs, vocabulary_size=50, dim=4, partitions=2, buckets=4)
     rows = vectors.collect()
-    assert 0 < len(rows) <= 50 and all(len(r["vector"]) == 4 for r in rows)
+    buckets = [r["token"] for r in rows if r["token"].startswith("#")]
+    assert len(rows) - len(buckets) == 50 and 0 < len(buckets) <= 4 and all(len(r["vector"]) == 4 for r in rows)
+
+
+def test_token_vectors_when_all_counts_tie(spark):
+    df = spark.createDataFrame([("a b c d",), ("e f g h",), ("",)], "text string")
+    tokens = {r["token"] for r in ft.learn_token_vectors(df, vocabulary_size=3, dim=2, buckets=2).collect()}
+    assert {"a", "b", "c"} <= tokens and tokens - {"a", "b", "c"} <= {"#0", "#1"}
+    with pytest.raises(ValueError):
+        ft.learn_token_vectors(df, vocabulary_size=ft.MAX_VOCABULARY + 1, dim=2)
+    assert ft.learn_token_vectors(df, vocabulary_size=ft.MAX_VOCABULARY, dim=2).count() == 8

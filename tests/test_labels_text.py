@@ -85,3 +85,12 @@ def test_display_helpers(spark):
     assert one(spark, pct_of_total(F.lit(1), F.lit(3))) == 33.3
     assert one(spark, pct_of_total(F.lit(0), F.lit(0))) is None
     assert one(spark, fixed_decimals(F.lit(0.5))) == "0.5000"
+
+
+def test_words_keep_every_script(spark):
+    text = "größer niño 2024 Привет café, cafe\u0301 日本_語 a-b x² İ"
+    assert one(spark, words(F.lit(text))) == [
+        "größer", "niño", "2024", "привет", "café", "cafe\u0301", "日本", "語", "a", "b", "x²", "i̇"]
+    assert one(spark, words(F.lit(text), fold=True)) == [
+        "großer", "nino", "2024", "привет", "cafe", "cafe", "日本", "語", "a", "b", "x²", "i"]
+    assert one(spark, words(F.lit(""))) == [] and one(spark, words(F.lit(None).cast("string"))) is None

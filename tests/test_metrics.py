@@ -156,3 +156,27 @@ def test_report_equals_direct_metrics(scored):
     assert report["classification_report"].collect() == metrics.classification_report(cells).collect()
     assert report["top_errors"].collect() == errors.top_errors(rows).collect()
     assert report_rows(report).where("section = 'confusion_matrix'").count() == 36
+
+
+def test_labels_outside_the_levels(spark, scored):
+    rows = scored((0, 0), (1, None), (7, 0), (2, 2))
+    with pytest.raises(Exception, match="label outside the levels: 1, NULL|label outside the levels: 7, 0"):
+        metrics.confusion_cells(rows).collect()
+    assert tuple(metrics.outside_count(rows).first()) == (4, 2)
+    cells = metrics.confusion_cells(rows, outside="drop")
+    assert metrics.evaluate_table(cells).first()["n"] == 2
+    assert metrics.classification_report(cells).where("name = 'weighted avg'").first()["support"] == 2
+    with pytest.raises(ValueError):
+        metrics.confusion_cells(rows, outside="ignore")
+
+
+def test_wide_matrix_keeps_the_order_of_levels(scored):
+    wide = metrics.confusion_wide(metrics.confusion_cells(scored((0, 0), (2, 1)), levels=("low", "mid", "high")), ("low", "mid", "high"))
+    assert [r["true_level"] for r in wide.collect()] == ["low", "mid", "high"]
+
+
+def test_align_predictions_reports_unmatched_rows(spark):
+    truth = spark.createDataFrame([(1, 0), (2, 1)], "id long, y int")
+    predicted = spark.createDataFrame([(1, 0), (3, 1)], "id long, p int")
+    rows = {r["id"]: (r["correct"], r["missing"]) for r in errors.align_predictions(truth, predicted).collect()}
+    assert rows == {1: (True, None), 2: (False, "prediction"), 3: (False, "truth")}

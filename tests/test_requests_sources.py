@@ -5,7 +5,6 @@ from levelwise.operators.requests import filter_blank, request_status, requests_
 from levelwise.operators.score import score_linear
 from levelwise.sources.exchange import read_requests, request_payloads, write_predictions
 from levelwise.sources.labelled import DatasetNotFound, null_text_count, prepare_labelled, read_labelled
-from levelwise.sources.layout import spread
 from levelwise.sources.staging import stage, staging_root
 from levelwise.streaming.score_stream import request_stream, score_stream
 
@@ -114,10 +113,3 @@ def test_staging_uses_the_shared_folder(spark):
     staged = stage(df, "numbers")
     assert staged.dtypes == df.dtypes and staged.exceptAll(df).count() == 0
     assert all(staging_root(spark) in f for f in staged.inputFiles())
-
-
-def test_spread_only_touches_small_inputs(spark):
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, cores * 2)
-    assert spread(many, "id") is many
-    assert spread(spark.range(0, 1000, 1, 1), "id").rdd.getNumPartitions() == cores

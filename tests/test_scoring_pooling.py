@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from levelwise.functions.scoring import argmax_label, confidence, linear_head, softmax
-from levelwise.operators.encode import MAX_VOCABULARY, encode_corpus, learn_vocabulary
+from levelwise.operators.encode import MAX_VOCABULARY, bucket, encode_corpus, learn_vocabulary
 from levelwise.operators.pooling import embed_text, mean_pool, mean_pool_nested
 from levelwise.operators.score import score_linear
 
@@ -59,7 +59,7 @@ def test_pooling_hot_group_matches_numpy(spark):
         assert np.allclose(r["pooled"], own.mean(0))
 
 
-TEXTS = ["the cat saw the dog", "", "!!! 123", "the the the", "a b c d e f g h i j", None]
+TEXTS = ["the cat saw the dog", "", "!!! 123", "the the the", "a b c d e f g h i j", None, "größer niño 2024 Привет café 日本 Ωmega"]
 
 
 def encoded(texts, vocabulary, length):
@@ -67,7 +67,7 @@ def encoded(texts, vocabulary, length):
 
     out = []
     for t in texts:
-        ids = [2] + [vocabulary.get(w, 1) for w in re.findall("[a-z]+", (t or "").lower())][: length - 2] + [3]
+        ids = [2] + [vocabulary.get(w, 1) for w in re.findall(r"[^\W_]+", (t or "").lower())][: length - 2] + [3]
         out.append((ids + [0] * (length - len(ids)), [1] * len(ids) + [0] * (length - len(ids))))
     return out
 
@@ -88,11 +88,55 @@ def test_encode_with_an_empty_vocabulary(spark):
     assert row["input_ids"] == [2, 1, 1, 3, 0]
 
 
-def test_vocabulary_bound(spark):
-    df = spark.createDataFrame([(0, "a")], "id int, text string")
-    for size in (0, MAX_VOCABULARY + 1):
-        with pytest.raises(ValueError):
-            learn_vocabulary(df, size)
+def test_vocabulary_size(spark):
+    df = spark.createDataFrame([(0, "b b a c"), (1, "d")], "id int, text string")
+    with pytest.raises(ValueError):
+        learn_vocabulary(df, 0)
+    for size in (1, 2, 3, MAX_VOCABULARY + 1):
+        rows = learn_vocabulary(df, size).orderBy("token_id").collect()
+        assert [(r["token"], r["token_id"]) for r in rows] == [("b", 4), ("a", 5), ("c", 6), ("d", 7)][:size]
+
+
+def test_vocabulary_matches_brute_force(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(2)
+    words = [[f"w{i}" for i in rng.zipf(1.3, 40) % 700] for _ in range(60)]
+    counts = Counter(w for text in words for w in text)
+    df = spark.createDataFrame([(" ".join(text),) for text in words], "text string").repartition(5)
+    expected = sorted(counts, key=lambda w: (-counts[w], w))
+    for size in (10, len(counts) - 3, len(counts) + 5):
+        rows = learn_vocabulary(df, size).orderBy("token_id").collect()
+        assert [(r["token"], r["n"]) for r in rows] == [(w, counts[w]) for w in expected[:size]]
+        assert [r["token_id"] for r in rows] == list(range(4, 4 + len(rows)))
+
+
+def test_large_vocabularies_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    vocabulary = learn_vocabulary(df, 5)
+    constant = encode_corpus(df, vocabulary, max_length=8).orderBy("id").collect()
+    monkeypatch.setattr("levelwise.operators.encode.MAX_VOCABULARY", 3)
+    assert encode_corpus(df, vocabulary, max_length=8).orderBy("id").collect() == constant
+
+
+def test_wrong_lengths_fail(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0, 3.0], 1), ("a", None, 1)], "id string, vec array<double>, mask int")
+    with pytest.raises(Exception, match="expected 2 values, got 3"):
+        mean_pool(df, 2, mask="mask").collect()
+    with pytest.raises(Exception, match="expected 2 values, got 3"):
+        df.select(linear_head("vec", [[1.0, 1.0]])).collect()
+    with pytest.raises(Exception, match="expected 6 values, got 3"):
+        df.select(softmax("vec", 6)).collect()
+    with pytest.raises(Exception, match="expected 2 values, got 3"):
+        df.groupBy("id").agg(F.collect_list("vec").alias("v")).select(mean_pool_nested("v", F.array(F.lit(1)), 2)).collect()
+    assert mean_pool(df, 3, mask="mask").first()["pooled"] == [1.0, 2.0, 3.0]  # the missing vector is masked
+
+
+def test_softmax_of_any_length(spark):
+    values = [0.5, -1.0, 2.0, 0.0, 3.0, 1.0, 9.0, 8.5]
+    row = spark.createDataFrame([(values,)], "l array<double>").select(softmax("l").alias("a"), softmax("l", 8).alias("b")).first()
+    expected = np.exp(values) / np.exp(values).sum()
+    assert np.allclose(row["a"], expected) and np.allclose(row["b"], expected)
 
 
 def test_embed_text(spark):
@@ -100,3 +144,11 @@ def test_embed_text(spark):
     vectors = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "token string, vector array<double>")
     got = {r["id"]: r["pooled"] for r in embed_text(df, vectors, 2).collect()}
     assert got[0] == pytest.approx([1 / 3, 2 / 3]) and got[1] == [0.0, 0.0] and got[2] == [0.0, 0.0]
+
+
+def test_unknown_words_use_buckets(spark):
+    df = spark.createDataFrame([(0, "x zz"), (1, "")], "id int, text string")
+    names = [r["b"] for r in spark.createDataFrame([("zz",), ("ü",)], "w string").select(bucket("w", 5).alias("b")).collect()]
+    vectors = spark.createDataFrame([("x", [1.0, 0.0]), (names[0], [0.0, 3.0])], "token string, vector array<double>")
+    got = {r["id"]: r["pooled"] for r in embed_text(df, vectors, 2, buckets=5).collect()}
+    assert got == {0: [0.5, 1.5], 1: [0.0, 0.0]} and names[1].startswith("#")
