@@ -90,6 +90,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a line of a request log.
+
+    Spanish documents come without sentences and German ones as a line that is no JSON.
+    """
+    sentences = F.when(F.col("lang") != "es", F.split("text", "[.\n]")).otherwise(F.array().cast("array<string>"))
+    payload = F.to_json(F.struct(F.col("doc_id").alias("request_id"), sentences.alias("sentences")))
+    cut = F.concat(F.lit("{"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "de", cut).otherwise(payload).alias("value"))
+
+
 def residue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each line without ASCII letters: often blank, sometimes nothing."""
     residue = F.split(F.regexp_replace("text", "[A-Za-z.,]", ""), "\n")

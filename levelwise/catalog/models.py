@@ -11,7 +11,7 @@ from levelwise.functions.labels import LEVELS
 from levelwise.operators import pooling, requests as rq, score as sc
 from levelwise.plans import fit as ft, training as tr
 from levelwise.plans.report import report_rows
-from levelwise.sources.exchange import request_payloads
+from levelwise.sources.exchange import parse_requests
 from levelwise.sources.staging import staging_path
 from levelwise.streaming.score_stream import request_stream, score_stream as start_scoring
 
@@ -80,7 +80,7 @@ def _score_sentences(rows: DataFrame) -> DataFrame:
     return sc.score_linear(rows.withColumn("features", fx.sentence_features()), fx.fixed_head(4), fx.sentence_bias())
 
 
-SCORED_REQUESTS_SQL = f"""WITH {fx.REQUESTS_SQL},
+SCORED_SQL = f"""WITH {fx.REQUESTS_SQL},
 cleaned AS (SELECT request_id, pos, trim(sentence, {fx.ASCII_SPACE}) AS sentence FROM exploded),
 valid AS (SELECT * FROM cleaned WHERE sentence <> ''),
 features AS (
@@ -90,22 +90,37 @@ features AS (
          length(regexp_replace(sentence, '[^,]', '', 'g'))::DOUBLE] AS f FROM valid),
 {fx.head_sql("features", "request_id, pos", "f", 4, "sqrt(k + 1) / 1000.0::DOUBLE")},
 {BEST_SQL.format(key="request_id, pos")}
-SELECT b.request_id, b.pos::INT AS pos, v.sentence, {CODE_OF_PRED} AS cefr, round(b.confidence, 6) AS confidence
+SELECT b.request_id, b.pos::INT AS pos, v.sentence, {CODE_OF_PRED} AS cefr, round(b.confidence, 6) AS confidence,
+       'ok' AS status, CAST(NULL AS VARCHAR) AS raw
 FROM best b JOIN valid v ON v.request_id = b.request_id AND v.pos = b.pos"""
+LOG_SQL = f"""SELECT s.request_id::VARCHAR AS request_id, s.* EXCLUDE (request_id)
+FROM ({SCORED_SQL}) s JOIN documents d ON d.doc_id = s.request_id WHERE d.lang NOT IN ('de', 'es')
+UNION ALL
+SELECT CASE WHEN lang = 'es' THEN doc_id::VARCHAR END, NULL, NULL, NULL, NULL,
+       CASE WHEN lang = 'es' THEN 'no_sentences' ELSE 'malformed' END,
+       CASE WHEN lang = 'de' THEN '{{' || doc_id END
+FROM documents WHERE lang IN ('de', 'es')"""
 
 
-@query(SCORED_REQUESTS_SQL)
+@query(SCORED_SQL)
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every request scored by a fixed head."""
     scored = rq.score_requests(fx.requests(spark, sf_dir), _score_sentences)
     return scored.withColumn("confidence", F.round("confidence", 6))
 
 
-@query(SCORED_REQUESTS_SQL)
+@query(LOG_SQL)
+def score_request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of request lines, some of them refused: every request has an outcome."""
+    scored = rq.score_requests(parse_requests(fx.request_lines(spark, sf_dir)), _score_sentences)
+    return scored.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(LOG_SQL)
 def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same scoring over a stream of request files."""
+    """The same log as a stream of files."""
     incoming, output, checkpoint = (staging_path(spark, n) for n in ("stream-in", "stream-out", "stream-checkpoint"))
-    request_payloads(fx.requests(spark, sf_dir)).write.text(incoming)
+    fx.request_lines(spark, sf_dir).write.text(incoming)
     start_scoring(request_stream(spark, incoming), _score_sentences, output, checkpoint).awaitTermination()
     return spark.read.parquet(output).withColumn("confidence", F.round("confidence", 6))
 

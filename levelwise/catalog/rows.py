@@ -49,7 +49,7 @@ def levels_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {fx.REQUESTS_SQL} SELECT request_id, pos::INT AS pos, sentence FROM exploded")
+@query(f"WITH {fx.REQUESTS_SQL} SELECT request_id::VARCHAR AS request_id, pos::INT AS pos, sentence FROM exploded")
 def requests_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests written as JSON lines, read back, one row per sentence."""
     path = staging_path(spark, "requests-json")

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from levelwise.operators.requests import score_requests
-from levelwise.sources.exchange import REQUEST_SCHEMA
+from levelwise.sources.exchange import parse_requests
 
 
 def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Requests from a folder of JSON lines, as a stream."""
-    reader = spark.readStream.schema(REQUEST_SCHEMA)
+    """Requests from a folder of JSON lines, as a stream; malformed lines stay in it."""
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    return parse_requests(reader.text(path))
 
 
 def score_stream(
@@ -27,7 +27,7 @@ def score_stream(
     fmt: str = "parquet",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start scoring a stream of ``request_id, sentences`` into a file sink.
+    """Start scoring a stream of ``request_id, sentences, raw`` into a file sink.
 
     The plan is the one :func:`score_requests` builds for a table. It keeps no
     state, so no watermark is needed; the sink and its checkpoint make the

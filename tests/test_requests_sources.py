@@ -41,24 +41,40 @@ def test_explode_keeps_order_and_filter_drops_blanks(requests):
 
 def test_score_requests(requests):
     rows = score_requests(requests, length_scorer, ordered=True).collect()
-    assert [(r["request_id"], r["pos"], r["sentence"]) for r in rows] == [
-        (1, 0, "I like cats."), (1, 5, "Two  words"), (4, 0, "one")]
-    assert all(r["cefr"] == "B1" and 1 / 6 <= r["confidence"] <= 1 for r in rows)
+    assert [(r["request_id"], r["pos"], r["sentence"], r["status"]) for r in rows] == [
+        (1, 0, "I like cats.", "ok"), (1, 5, "Two  words", "ok"), (2, None, None, "no_sentences"),
+        (3, None, None, "no_valid_sentences"), (4, 0, "one", "ok"), (5, None, None, "no_sentences")]
+    assert all(r["cefr"] == "B1" and 1 / 6 <= r["confidence"] <= 1 for r in rows if r["status"] == "ok")
+    assert all(r["cefr"] is None and r["confidence"] is None for r in rows if r["status"] != "ok")
 
 
 def test_empty_input_gives_empty_output(requests):
-    assert score_requests(requests.where("request_id = 2"), length_scorer).count() == 0
+    assert score_requests(requests.where("request_id = 9"), length_scorer).count() == 0
+
+
+LINES = ['{"request_id": 1, "sentences": ["one", " "]}', '{"request_id": "a-7", "sentences": ["two"]}', "{broken", "not json",
+         '{"request_id": 3, "sentences": "no list"}', '{"request_id": 4}', "", "   ", '{"sentences": ["no id"]}', "[1]"]
+
+
+def test_every_line_is_answered(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("\n".join(LINES))
+    rows = score_requests(read_requests(spark, f"{tmp_path}/in.jsonl"), length_scorer).collect()
+    got = sorted((str(r["request_id"]), str(r["sentence"]), r["status"], str(r["raw"])) for r in rows)
+    assert [g for g in got if g[2] != "malformed"] == sorted([
+        ("1", "one", "ok", "None"), ("a-7", "two", "ok", "None"), ("4", "None", "no_sentences", "None"), ("None", "no id", "ok", "None")])
+    assert sorted(g[3] for g in got if g[2] == "malformed") == sorted([LINES[2], LINES[3], LINES[4], LINES[9]])
 
 
 def test_stream_equals_batch(spark, requests, tmp_path):
-    request_payloads(requests.repartition(3)).write.text(f"{tmp_path}/in")
+    bad = spark.createDataFrame([(line,) for line in LINES], "value string")
+    request_payloads(requests).union(bad).repartition(3).write.text(f"{tmp_path}/in")
     stream = request_stream(spark, f"{tmp_path}/in", max_files=1)
     assert stream.isStreaming
     for _ in range(2):  # the second run finds nothing new
         score_stream(stream, length_scorer, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     batch = score_requests(read_requests(spark, f"{tmp_path}/in"), length_scorer)
     streamed = spark.read.parquet(f"{tmp_path}/out")
-    assert streamed.count() == batch.count() == 3
+    assert streamed.count() == batch.count() == 6 + 8
     assert streamed.exceptAll(batch).count() == 0
 
 
