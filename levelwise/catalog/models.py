@@ -28,8 +28,7 @@ BEST_SQL = """best AS (
 
 def _fit(spark: SparkSession, sf_dir: str, settings: ft.FitSettings = ONE_CANDIDATE) -> ft.FittedClassifier:
     parts = tr.split_labelled(fx.labelled_docs(spark, sf_dir), settings=settings, allow_rare=True)
-    return ft.fit_classifier(
-        parts.where(F.col("split") == "train"), parts.where(F.col("split") == "val"), settings)
+    return ft.fit_parts(parts, settings)
 
 
 @query()
@@ -45,9 +44,7 @@ def fit_classifier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = fx.table(spark, sf_dir, "documents").join(fx.table(spark, sf_dir, "labels"), "doc_id").select(
         F.col("doc_id").alias("id"), "text", F.col("quality").alias("label_id"))
     parts = tr.split_labelled(labelled, settings=settings, allow_rare=True)
-    fitted = ft.fit_classifier(
-        parts.where(F.col("split") == "train"), parts.where(F.col("split") == "val"), settings)
-    return fitted.history_table(spark)
+    return ft.fit_parts(parts, settings).history_table(spark)
 
 
 @query()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS
@@ -29,11 +32,9 @@ HISTORY_SCHEMA = (
 
 CELL_SCHEMA = "candidate int, part string, y int, p int, n long, loss double, weight double"
 SETTINGS_SCHEMA = (
-    "levels array<string>, num_classes int, num_features int, alpha double, use_class_weights boolean, "
-    "aggregation_depth int, candidates array<map<string,double>>, best int, history array<array<double>>, "
-    "spark_version string"
+    "version string, levels array<string>, num_features int, alpha double, use_class_weights boolean, "
+    "aggregation_depth int, candidates string, best int, history array<array<double>>, spark_version string, saved long"
 )
-INTEGER_PARAMS = ("maxIter",)
 VECTOR_PARTITIONS, VECTOR_BUCKETS = 8, 64
 
 
@@ -71,46 +72,79 @@ class FittedClassifier:
 def fit_classifier(train: DataFrame, val: DataFrame, settings: FitSettings = FitSettings()) -> FittedClassifier:
     """Fit every candidate on ``train``, keep the best by validation macro F1.
 
-    Both frames have ``text`` and ``label_id``. Text is turned into word counts
-    once, whole, and staged; each candidate then only iterates over the staged
-    vectors and is judged by one aggregation. The driver holds coefficients
-    (``levels x num_features``) and cell counts, never rows.
+    Both frames have ``text`` and ``label_id``. Two frames are two scans; parts
+    of one table are better passed to :func:`fit_parts`.
     """
-    spark = train.sparkSession
-    weights = class_weights(train, "label_id", settings.levels, settings.alpha)
-    if not settings.use_class_weights:
-        weights = weights.withColumn("weight", F.lit(1.0))
-    weighted = attach_class_weight(train.select("text", "label_id"), weights)
-    both = weighted.select("text", "label_id", "weight", F.lit("train").alias("part")).unionByName(
-        val.select("text", "label_id", F.lit(1.0).alias("weight"), F.lit("val").alias("part"))
+    both = train.select("text", "label_id", F.lit("train").alias("split")).unionByName(
+        val.select("text", "label_id", F.lit("val").alias("split"))
     )
-    counter = Pipeline(stages=[
+    return fit_parts(both, settings)
+
+
+def fit_parts(parts: DataFrame, settings: FitSettings = FitSettings()) -> FittedClassifier:
+    """The same on one frame ``text, label_id, split``; other values of ``split`` are left out."""
+    with staged(word_counts(parts.where(F.col("split").isin("train", "val")), settings), "counts") as counted:
+        return fit_counted(counted, settings)
+
+
+def counting_stages(settings: FitSettings) -> PipelineModel:
+    return PipelineModel([
         RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=settings.num_features),
-    ]).fit(both)
-    counts = counter.transform(both).select("part", "label_id", "weight", "counts")
+    ])
+
+
+def word_counts(parts: DataFrame, settings: FitSettings, keep: tuple[str | Column, ...] = ()) -> DataFrame:
+    """``part, label_id, weight, counts``: the one pass over the text, whole texts, no shuffle.
+
+    Training rows weigh what their class weighs, others one. The weights come
+    from the labels alone.
+    """
+    in_train = F.col("split") == "train"
+    weights = class_weights(parts.where(in_train), "label_id", settings.levels, settings.alpha)
+    if not settings.use_class_weights:
+        weights = weights.withColumn("weight", F.lit(1.0))
+    weighted = attach_class_weight(parts.select("text", "label_id", "split", *keep), weights)
+    kept = [c for c in weighted.columns if c not in ("text", "label_id", "split", "weight")]
+    weight = F.when(in_train, F.col("weight")).otherwise(1.0)
+    return counting_stages(settings).transform(weighted).select(
+        F.col("split").alias("part"), "label_id", weight.alias("weight"), "counts", *kept)
+
+
+def fit_counted(counted: DataFrame, settings: FitSettings) -> FittedClassifier:
+    """Fit on staged word counts: each candidate only iterates over the vectors and is judged by one aggregation.
+
+    The driver holds coefficients (``levels x num_features``) and cell counts,
+    never rows.
+    """
+    spark = counted.sparkSession
     models, cells = [], []
-    with staged(counts, "counts") as counted:
-        in_train = F.col("part") == "train"
-        idf = IDF(inputCol="counts", outputCol="features").fit(counted.where(in_train))
-        rows = idf.transform(counted)
-        for number, params in enumerate(settings.candidates, start=1):
-            model = LogisticRegression(
-                featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
-                aggregationDepth=settings.aggregation_depth, **params,
-            ).fit(rows.where(in_train))
-            models.append(model)
-            cells += [(number, *cell) for cell in _scored_cells(model, rows)]
+    used = counted.where(F.col("part").isin("train", "val"))
+    in_train = F.col("part") == "train"
+    idf = IDF(inputCol="counts", outputCol="features").fit(used.where(in_train))
+    rows = idf.transform(used)
+    for number, params in enumerate(settings.candidates, start=1):
+        model = LogisticRegression(
+            featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
+            aggregationDepth=settings.aggregation_depth, **params,
+        ).fit(rows.where(in_train))
+        models.append(model)
+        cells += [(number, *cell) for cell in _scored_cells(model, rows)]
 
     history = _history(spark, cells)
     chosen = select_best(spark.createDataFrame(history, HISTORY_SCHEMA).coalesce(1)).first()
     if chosen is None:
         raise NoUsefulCandidate("no candidate scored a macro F1 above zero on the validation rows")
     best = chosen["candidate"]
-    fitted = PipelineModel([*counter.stages, idf, models[best - 1]])
+    fitted = PipelineModel([*counting_stages(settings).stages, idf, models[best - 1]])
     return FittedClassifier(fitted, settings, best, history)
 
 
+def score_counted(fitted: FittedClassifier, counted: DataFrame) -> DataFrame:
+    """``counted`` with ``probability``: the model without the steps that read text."""
+    return PipelineModel(fitted.model.stages[2:]).transform(counted).withColumn("probability", vector_to_array("probability"))
+
+
 def _scored_cells(model, rows: DataFrame) -> list[tuple]:
     """Confusion cells of both parts with their weighted loss, in one pass.
 
@@ -142,23 +176,27 @@ def _history(spark: SparkSession, cells: list[tuple]) -> tuple[tuple, ...]:
 
 
 def save_classifier(fitted: FittedClassifier, path: str) -> None:
-    """Write the pipeline and one row of settings below ``path``."""
+    """Write the pipeline into a fresh folder below ``path``, then one row of settings that names it.
+
+    Until that row is replaced, readers load the old pipeline. Old versions stay.
+    """
     spark = SparkSession.active()
-    fitted.model.write().overwrite().save(f"{path}/pipeline")
+    version = f"pipeline-{uuid.uuid4().hex}"
+    fitted.model.write().save(f"{path}/{version}")
     s = fitted.settings
     row = (
-        list(s.levels), len(s.levels), s.num_features, s.alpha, s.use_class_weights, s.aggregation_depth,
-        [{k: float(v) for k, v in c.items()} for c in s.candidates], fitted.best,
-        [list(map(float, h)) for h in fitted.history], spark.version,
+        version, list(s.levels), s.num_features, s.alpha, s.use_class_weights, s.aggregation_depth,
+        json.dumps(list(s.candidates)), fitted.best, [list(map(float, h)) for h in fitted.history], spark.version,
+        time.time_ns(),
     )
-    # Written last: its presence marks a complete artefact.
-    spark.createDataFrame([row], SETTINGS_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+    # Appended last, in one file: its presence marks a complete artefact, the newest one counts.
+    spark.createDataFrame([row], SETTINGS_SCHEMA).coalesce(1).write.mode("append").json(f"{path}/settings")
 
 
 def load_classifier(spark: SparkSession, path: str, levels: Sequence[str] | None = None) -> FittedClassifier:
-    """Read a saved classifier with all its settings; checks the level list if given."""
+    """Read the newest saved classifier with all its settings; checks the level list if given."""
     try:
-        row = spark.read.schema(SETTINGS_SCHEMA).json(f"{path}/settings").first()
+        row = spark.read.schema(SETTINGS_SCHEMA).json(f"{path}/settings").orderBy(F.desc("saved")).first()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise ModelNotReady(f"no fitted model at {path}") from error
@@ -168,9 +206,7 @@ def load_classifier(spark: SparkSession, path: str, levels: Sequence[str] | None
     if levels is not None and list(levels) != row["levels"]:
         raise ValueError(f"model at {path} was fitted for levels {row['levels']}, not {list(levels)}")
     settings = FitSettings(
-        candidates=tuple(
-            {k: int(v) if k in INTEGER_PARAMS else v for k, v in c.items()} for c in row["candidates"]
-        ),
+        candidates=tuple(json.loads(row["candidates"])),
         num_features=row["num_features"],
         alpha=row["alpha"],
         use_class_weights=row["use_class_weights"],
@@ -178,7 +214,7 @@ def load_classifier(spark: SparkSession, path: str, levels: Sequence[str] | None
         aggregation_depth=row["aggregation_depth"],
     )
     history = tuple((int(h[0]), *h[1:]) for h in row["history"])
-    return FittedClassifier(PipelineModel.load(f"{path}/pipeline"), settings, row["best"], history)
+    return FittedClassifier(PipelineModel.load(f"{path}/{row['version']}"), settings, row["best"], history)
 
 
 def fit_or_load(spark: SparkSession, path: str, fit: Callable[[], FittedClassifier]) -> FittedClassifier:

@@ -7,15 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from levelwise.functions.scoring import argmax_label, confidence
 from levelwise.functions.text import text_preview
 from levelwise.operators.metrics import confusion_cells, evaluate_table
 from levelwise.operators.score import score_table
 from levelwise.operators.split import SEED, assign_split, split_cuts
 from levelwise.operators.weights import counts_with_pct
-from levelwise.plans.fit import FitSettings, FittedClassifier, fit_classifier
+from levelwise.plans.fit import FitSettings, FittedClassifier, fit_counted, score_counted, word_counts
 from levelwise.plans.report import evaluation_report
 from levelwise.sources.exchange import prediction_records
-from levelwise.sources.staging import stage
+from levelwise.sources.staging import stage, staged
 
 # Sample sentences, scored after a training run.
 DEMO_TEXTS = (
@@ -72,17 +73,20 @@ def train_and_evaluate(
 ) -> TrainingRun:
     """Split 70/15/15, fit and select on train/val, report on test.
 
-    ``labelled`` has ``id, text, label_id``. The test rows are scored once and
-    staged with a preview of their text; the report and the returned table both
-    read that.
+    ``labelled`` has ``id, text, label_id``. The text is read once: the word
+    counts of all parts are staged, the fit and the scores of the test rows come
+    from them, and they are removed at the end. The scored test rows stay staged
+    with a preview of their text; the report and the returned table read that.
     """
     spark = labelled.sparkSession
     parts = split_labelled(labelled, seed, settings, allow_rare)
-    fitted = fit_classifier(
-        parts.where(F.col("split") == "train"), parts.where(F.col("split") == "val"), settings
-    )
-    scored = score_labelled(fitted, parts.where(F.col("split") == "test"))
-    scored = stage(scored.withColumn("preview", text_preview("text")).drop("text"), "scored-test")
+    with staged(word_counts(parts, settings, ("id", text_preview("text").alias("preview"))), "counts") as counted:
+        fitted = fit_counted(counted, settings)
+        scored = score_counted(fitted, counted.where(F.col("part") == "test")).select(
+            "id", F.col("label_id").alias("y"), argmax_label("probability").alias("p"),
+            confidence("probability").alias("confidence"), "preview",
+        )
+        scored = stage(scored, "scored-test")
     return TrainingRun(
         fitted=fitted,
         split_sizes=counts_with_pct(parts, "split"),

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -99,6 +100,24 @@ def test_save_load_fit_or_load(spark, sf_dir, fitted, tmp_path):
         ft.load_classifier(spark, path, ("0", "1"))
 
 
+def test_an_interrupted_save_leaves_the_old_model(spark, fitted, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    ft.save_classifier(fitted, path)
+    with monkeypatch.context() as broken:
+        broken.setattr(ft.json, "dumps", lambda _: 1 / 0)  # after the pipeline, before the settings
+        with pytest.raises(ZeroDivisionError):
+            ft.save_classifier(fitted, path)
+    assert ft.load_classifier(spark, path).best == fitted.best
+    other = ft.FittedClassifier(fitted.model, ft.FitSettings(candidates=({"fitIntercept": True, "family": "auto", "maxIter": 3},)), 1, fitted.history)
+    ft.save_classifier(other, path)
+    assert ft.load_classifier(spark, path).settings == other.settings  # types included, newest wins
+
+
+def test_training_reads_the_text_once(parts):
+    plan = ft.word_counts(parts, SETTINGS, ("id",))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\btext\b", plan)) == 1
+
+
 def test_no_useful_candidate(spark):
     train = spark.createDataFrame([("a a", 0), ("b b", 1)] * 5, "text string, label_id int")
     val = spark.createDataFrame([("a a", 1), ("b b", 0)], "text string, label_id int")

@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from levelwise.catalog import aggregates, models, rows  # noqa: F401  (they register the queries)
-from levelwise.catalog.registry import QUERIES
+from levelwise.catalog import aggregates, checks, models, rows  # noqa: F401  (they register the queries)
+from levelwise.catalog.registry import ORACLES, QUERIES
 
 NARROW = ("encode_corpus", "score_requests", "clean_text", "text_preview", "request_status", "label_to_id", "softmax", "score_linear")
 
@@ -14,7 +14,10 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+FITTED = ("score_table", "embed_text", "train_and_evaluate")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in ORACLES if not n.endswith("_facts")) + list(FITTED))
 def test_no_python_workers(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas", plan)
