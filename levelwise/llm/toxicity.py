@@ -50,7 +50,9 @@ REG = 1e-4
 FIT_PARTITIONS = 4
 DECAY, REACH = 0.5, 3
 WINDOW, STEP = 40, 20
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+# Texts whose units are held at a time.
+PORTION = 200
 LETTERS, EDGE = 64, 27
 SHARPNESS = 6.0
 
@@ -180,11 +182,11 @@ class Scorer:
         known.update(zip(new, best.tolist()))
         return known
 
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """One value per text, -inf without units. Texts are taken in portions, which bounds what is remembered."""
+    def texts(self, texts: list[bytes] | pa.Array) -> np.ndarray:
+        """One value per text, -inf without units. Texts are taken in portions, which bounds what is held."""
         out = np.full(len(texts), -np.inf)
-        for at in range(0, len(texts), 500):
-            sets = [units(t) for t in texts[at : at + 500]]
+        for at in range(0, len(texts), PORTION):
+            sets = [units((t if isinstance(t, bytes) else t.as_py()) or b"") for t in texts[at : at + PORTION]]
             known = self.unit_scores(set().union(*sets))
             for i, found in enumerate(sets):
                 if found:
@@ -273,7 +275,9 @@ def suspects_of(sentences: DataFrame, kernel: Kernel) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(kernel)
         for batch in batches:
-            found = scorer.suspects([s.as_py() for s in batch.column("sentence")])
+            column = batch.column("sentence")
+            parts = (column.slice(at, 10 * PORTION).to_pylist() for at in range(0, len(column), 10 * PORTION))
+            found = [unit for part in parts for unit in scorer.suspects(part)]
             yield pa.record_batch([pa.array([u[:WINDOW] for u in found], pa.binary()), batch.column("label")], names=["unit", "label"])
 
     picked = sentences.mapInArrow(pick, "unit binary, label double")
@@ -295,7 +299,7 @@ class Model:
     def __init__(self, kernel: Kernel | None = None, cut: float = 0.0, scale: float = 1.0):
         self.kernel, self.cut, self.scale = kernel, cut, scale
 
-    def scores(self, texts: list[bytes], scorer: Scorer | None = None) -> np.ndarray:
+    def scores(self, texts: list[bytes] | pa.Array, scorer: Scorer | None = None) -> np.ndarray:
         if self.kernel is None:
             return np.zeros(len(texts))
         raw = (scorer or Scorer(self.kernel)).texts(texts)
@@ -333,7 +337,7 @@ def best_cut(rows: DataFrame, kernel: Kernel) -> tuple[float, float]:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(kernel)
         for batch in batches:
-            raw = scorer.texts([t.as_py() or b"" for t in batch.column("text").cast(pa.binary())])
+            raw = scorer.texts(batch.column("text").cast(pa.binary()))
             yield pa.record_batch([pa.array(np.maximum(raw, -1e6)), batch.column("label")], names=["raw", "label"])
 
     found = rows.mapInArrow(compute, "raw double, label int").collect()  # at most twice the sample
@@ -357,7 +361,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.kernel) if model.kernel else None
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
+            texts = batch.column("text").cast(pa.binary())
             yield pa.record_batch([batch.column("row"), pa.array(model.scores(texts, scorer))], names=["row", "score"])
 
     return rows.mapInArrow(compute, schema)
