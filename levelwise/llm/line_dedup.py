@@ -75,12 +75,13 @@ def drop_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def apply_keep(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """``row, n_lines, n_dropped, kept``: every row of ``docs`` as a struct, and its text without the dropped lines."""
-    keyed = docs.select(F.struct("*").alias("row"), doc_key().alias("_did"), text_key().alias("_tid"), lines_of().alias("lines"))
+    keyed = docs.select(F.struct("*").alias("row"), doc_key().alias("_did"), text_key().alias("_tid"))
     starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["end"]))
     ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.size("lines")))
     slices = F.zip_with(starts, ends, lambda a, b: F.slice("lines", a + 1, b - a))
     whole = F.coalesce("row.text", F.lit(""))
-    return keyed.join(runs, ["_did", "_tid"], "left").select(
+    # Lines are split after the join: the text travels once.
+    return keyed.join(runs, ["_did", "_tid"], "left").withColumn("lines", lines_of("row.text")).select(
         "row", F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("runs").isNull(), whole).otherwise(F.array_join(F.flatten(slices), "\n")).alias("kept"),
     )
