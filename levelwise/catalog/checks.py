@@ -81,6 +81,6 @@ def fit_classifier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both candidates are judged on exactly the validation rows: accuracy times their number is a whole number."""
     parts = tr.split_labelled(fx.labelled_docs(spark, sf_dir), settings=models.TWO_CANDIDATES, allow_rare=True)
     history = ft.fit_parts(parts, models.TWO_CANDIDATES).history_table(spark)
-    n_val = F.lit(parts.where(F.col("split") == "val").count())
+    n_val = F.lit(parts.where(F.col("split") == "val").count()).cast("long")
     right = F.col("accuracy") * n_val
     return history.select("candidate", n_val.alias("n_val"), ((F.abs(right - F.round(right)) < 1e-6) & F.col("macro_f1").between(0.0, 1.0)).alias("whole_rows"))

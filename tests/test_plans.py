@@ -43,7 +43,7 @@ def test_split_assigns_rows_without_moving_them(spark, sf_dir):
 
 
 def test_aggregates_combine_before_the_shuffle(spark, sf_dir):
-    for name in ("confusion_matrix", "class_weights", "mean_pool", "learn_vocabulary", "embed_text_fixed"):
+    for name in ("confusion_matrix", "class_weights", "mean_pool", "embed_text_fixed"):
         assert "partial_" in plan_of(QUERIES[name](spark, sf_dir))
 
 
