@@ -212,12 +212,12 @@ def plan_rows(bins: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
 
 def ranked(pieces: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``pieces`` with ``rank``, exact and gapless from 0 among pieces of equal length."""
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select(
         "length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
     numbered = bucketed.withColumn("nth", F.row_number().over(inside) - 1)
     return numbered.join(counts, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth")).drop("bucket", "base", "nth")
 
