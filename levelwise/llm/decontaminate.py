@@ -10,7 +10,8 @@ DataFrame functions only. A window is ``width`` consecutive words of an item (al
 3. Phrase matches compare the remaining terms at their offsets; proximity matches ask for all terms within a span.
 
 The pass over the tokens is one generated stage: words are never materialised per token and text is not shuffled.
-The benchmark side is broadcast only while its counted rows stay within a bound; beyond it Spark sort-merge joins.
+The benchmark side is broadcast while its counted rows stay within a bound. Beyond it its windows are sought in
+blocks within that bound, one pass over the tokens each, so that text is never shuffled by token.
 
 Defined results: null text, or text without words, has no words and no hits; an item without words is ignored;
 items with equal text are both reported; a null id is a document of its own; identical rows of one id give one row;
@@ -19,10 +20,13 @@ rows of one id with different texts give one row each; an empty benchmark contam
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from levelwise.llm.common import ascii_lower, doc_key, from_doc_key, read, small_side, stage, text_key
+from levelwise.llm.common import BROADCAST_ROWS, ascii_lower, doc_key, from_doc_key, read, small_side, stage, text_key
 
 WIDTH = 10
 # Everything outside 0-9, a-z and non-ASCII separates words.
@@ -43,10 +47,12 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, width))).alias("terms"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """``h, n``: corpus count of every benchmark term, zero included."""
+def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``h, n``: corpus count of every benchmark term, zero included. Too many terms for a broadcast meet the counts
+    of all words instead of the words."""
     tokens = docs.select(F.explode(words_of()).alias("w")).select(F.xxhash64("w").alias("h"))
-    counted = tokens.join(small_side(terms, n_terms), "h").groupBy("h").agg(F.count("*").alias("n"))
+    sought = tokens.join(F.broadcast(terms), "h") if n_terms <= limit else tokens
+    counted = sought.groupBy("h").agg(F.count("*").alias("n"))
     return terms.join(counted, "h", "left").select("h", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -67,7 +73,15 @@ def lookups(wins: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, wanted: DataFrame, n_wanted: int, reach: int = 0) -> DataFrame:
+def in_blocks(wanted: DataFrame, n_wanted: int, limit: int) -> list[DataFrame]:
+    """``wanted`` whole, or in parts by window id of half of ``limit`` rows on average, which keeps each within it."""
+    if n_wanted <= limit:
+        return [wanted]
+    n = math.ceil(2 * n_wanted / limit)
+    return [wanted.filter(F.pmod("window_id", F.lit(n)) == i) for i in range(n)]
+
+
+def postings(docs: DataFrame, wanted: DataFrame, n_wanted: int, reach: int = 0, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``_did, _tid, window_id, start, around`` where rarest and second rarest term stand at their distance.
 
     ``reach`` > 0 stores every posting of the rarest term with that many words on either side instead.
@@ -80,8 +94,9 @@ def postings(docs: DataFrame, wanted: DataFrame, n_wanted: int, reach: int = 0)
         F.lit(None).cast("long").alias("window_id"), F.lit(0).alias("width"), F.xxhash64(F.lit(END)).alias("h"),
         F.lit(0).alias("at"), F.lit(None).cast("long").alias("h2"), F.lit(0).alias("at2"),
     )
-    sought = small_side(wanted.drop("terms").unionByName(end), n_wanted)
-    found = tokens.withColumn("h", F.xxhash64("w")).join(sought, "h")
+    first, *others = in_blocks(wanted.drop("terms"), n_wanted, limit)
+    hashed = tokens.withColumn("h", F.xxhash64("w"))
+    found = reduce(DataFrame.union, [hashed.join(F.broadcast(sought), "h") for sought in (first.unionByName(end), *others)])
     start, is_end = F.col("pos") - F.col("at"), F.col("window_id").isNull()
     if reach:
         low = F.greatest(F.col("pos") - reach, F.lit(0))
@@ -99,14 +114,14 @@ def postings(docs: DataFrame, wanted: DataFrame, n_wanted: int, reach: int = 0)
 class PositionalIndex:
     """Stored postings of one corpus for one benchmark, for phrase and proximity queries."""
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, reach: int = 0):
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, reach: int = 0, limit: int = BROADCAST_ROWS):
         self.windows = stage(windows(benchmark, width), "windows")
         terms = stage(self.windows.select(F.explode("terms").alias("w")).select(F.xxhash64("w").alias("h")).distinct(), "terms")
-        counts = stage(term_counts(docs, terms, terms.count()), "term-counts")
+        counts = stage(term_counts(docs, terms, terms.count(), limit), "term-counts")
         self.lookups = stage(lookups(self.windows, counts), "lookups")
         self.n_lookups = self.lookups.count()
-        self.reach = reach
-        self.postings = stage(postings(docs, self.lookups, self.n_lookups, reach), "postings")
+        self.reach, self.limit = reach, limit
+        self.postings = stage(postings(docs, self.lookups, self.n_lookups, reach, limit), "postings")
 
     def lengths(self) -> DataFrame:
         """``_did, _tid, n_words`` of every document."""
@@ -114,7 +129,7 @@ class PositionalIndex:
         return ends.groupBy("_did", "_tid").agg(F.max("start").cast("long").alias("n_words"))
 
     def _with_terms(self) -> DataFrame:
-        terms = small_side(self.lookups.select("window_id", "terms", "width"), self.n_lookups)
+        terms = small_side(self.lookups.select("window_id", "terms", "width"), self.n_lookups, self.limit)
         return self.postings.filter("window_id IS NOT NULL").join(terms, "window_id")
 
     def phrases(self) -> DataFrame:
@@ -147,9 +162,9 @@ def covered_words() -> Column:
     return F.aggregate("spans", empty, add, lambda x: x["n"]).cast("long")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``_did, _tid, n_words, n_hit, item_ids`` per document."""
-    index = PositionalIndex(docs, benchmark, width)
+    index = PositionalIndex(docs, benchmark, width, limit=limit)
     matches = index.phrases()
     hits = matches.groupBy("_did", "_tid").agg(F.array_sort(F.collect_set(F.struct("start", "width"))).alias("spans"))
     items = index.items(matches).groupBy("_did", "_tid").agg(

@@ -23,9 +23,10 @@ def passages():
     return items, texts + [None, "", "élan vital", "... the", "thethe"]
 
 
-def test_phrases_match_brute_force(spark, docs):
+@pytest.mark.parametrize("limit", [100_000, 20])
+def test_phrases_match_brute_force(spark, docs, limit):
     items, texts = passages()
-    found = decontaminate.contamination(docs(*enumerate(texts)), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = decontaminate.contamination(docs(*enumerate(texts)), spark.createDataFrame(items, "item_id long, text string"), limit=limit).collect()
     assert {r._did: (r.n_words, r.n_hit, list(r.item_ids)) for r in found} == {i: brute.hits(t, items) for i, t in enumerate(texts)}
 
 
