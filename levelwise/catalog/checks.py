@@ -16,17 +16,30 @@ from levelwise.plans import fit as ft, training as tr
 from levelwise.sources.staging import stage, staging_path
 
 
-@query(f"WITH {fx.DOCS_SQL} SELECT id, text AS sentence, true AS level_is_largest, true AS confidence_fits FROM level_docs")
-def score_table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document keeps its text; its level is that of the largest probability, which is the confidence."""
+def _score_facts(spark: SparkSession, sf_dir: str, settings: ft.FitSettings) -> DataFrame:
     docs = fx.level_docs(spark, sf_dir).select("id", F.col("text").alias("sentence"))
-    scored = sc.score_table(models._fit(spark, sf_dir).model, docs)
+    scored = sc.score_table(models._fit(spark, sf_dir, settings).model, docs)
     total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
     fits = (F.col("confidence") == F.array_max("probability")) & (F.col("confidence") >= 1.0 / len(LEVELS)) & (F.abs(total - 1.0) < 1e-9)
     return scored.select(
         "id", "sentence", (F.col("cefr") == id_to_label(argmax_label("probability"))).alias("level_is_largest"), fits.alias("confidence_fits"))
 
 
+SCORE_FACTS_SQL = f"WITH {fx.DOCS_SQL} SELECT id, text AS sentence, true AS level_is_largest, true AS confidence_fits FROM level_docs"
+
+
+@query(SCORE_FACTS_SQL)
+def score_table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document keeps its text; its level is that of the largest probability, which is the confidence."""
+    return _score_facts(spark, sf_dir, models.ONE_CANDIDATE)
+
+
+@query(SCORE_FACTS_SQL)
+def fit_classifier_embedding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a model on pooled word vectors."""
+    return _score_facts(spark, sf_dir, models.POOLED)
+
+
 @query(f"WITH {fx.DOCS_SQL} SELECT id, true AS same FROM level_docs")
 def saved_model_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model that was saved and loaded scores every document as the one in memory."""

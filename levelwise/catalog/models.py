@@ -18,6 +18,7 @@ from levelwise.streaming.score_stream import request_stream, score_stream as sta
 TWO_CANDIDATES = ft.FitSettings(
     candidates=({"regParam": 0.1, "maxIter": 10}, {"regParam": 0.01, "maxIter": 20}))
 ONE_CANDIDATE = ft.FitSettings()
+POOLED = ft.FitSettings(features="embedding", dim=16)
 VECTOR_DIM, VECTOR_WORDS = 16, 5000
 
 CODE_OF_PRED = "['" + "','".join(LEVELS) + "'][pred_id + 1]"
@@ -47,6 +48,12 @@ def fit_classifier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.fit_parts(parts, settings).history_table(spark)
 
 
+@query()
+def fit_classifier_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of a fit on the mean of word vectors learned with it."""
+    return _fit(spark, sf_dir, POOLED).history_table(spark)
+
+
 @query()
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a fitted model."""

@@ -35,7 +35,7 @@ def read_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "labelled-csv")
     fx.labelled_docs(spark, sf_dir).select("id", "text", "label").write.option("header", True).option(
         "escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return prepare_labelled(read(spark, path)).select("id", "text", "label", "label_id")
+    return prepare_labelled(read(spark, path, fmt="csv")).select("id", "text", "label", "label_id")
 
 
 @query(f"""WITH {fx.DOCS_SQL}, {INFO_SQL}

@@ -1,7 +1,6 @@
 """Class statistics and imbalance weights.
 
-The windows over everything here only ever see an aggregate: one row per label,
-split or other small key.
+The windows over everything here only ever see an aggregate: one row per label.
 """
 
 from __future__ import annotations
@@ -28,7 +27,8 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
 def counts_with_pct(df: DataFrame, key: str) -> DataFrame:
     """Rows per ``key`` and their percentage of all rows (one decimal)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", pct_of_total(F.col("n"), F.sum("n").over(Window.partitionBy())))
+    # The total is one value: keys of any number stay spread.
+    return counts.withColumn("pct", pct_of_total(F.col("n"), counts.agg(F.sum("n")).scalar()))
 
 
 def class_ratios(df: DataFrame, label_id: str = "label_id") -> DataFrame:

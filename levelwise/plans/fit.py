@@ -9,9 +9,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +33,9 @@ HISTORY_SCHEMA = (
 CELL_SCHEMA = "candidate int, part string, y int, p int, n long, loss double, weight double"
 SETTINGS_SCHEMA = (
     "version string, levels array<string>, num_features int, alpha double, use_class_weights boolean, "
-    "aggregation_depth int, candidates string, best int, history array<array<double>>, spark_version string, saved long"
+    "aggregation_depth int, features string, dim int, candidates string, best int, history array<array<double>>, spark_version string, saved long"
 )
-VECTOR_PARTITIONS, VECTOR_BUCKETS = 8, 64
+VECTOR_PARTITIONS, VECTOR_BUCKETS, VECTOR_SEED = 8, 64, 42
 
 
 class NoUsefulCandidate(RuntimeError):
@@ -48,7 +48,12 @@ class ModelNotReady(RuntimeError):
 
 @dataclass(frozen=True)
 class FitSettings:
-    """How to fit. ``candidates`` are parameter sets tried in order."""
+    """How to fit. ``candidates`` are parameter sets tried in order.
+
+    ``features`` is ``counts`` (TF-IDF of hashed words) or ``embedding`` (mean of
+    ``dim`` components of vectors learned for hashed words). Both give every word
+    one of ``num_features`` buckets, so no word is lost and a model has a known size.
+    """
 
     candidates: tuple[dict, ...] = ({"regParam": 0.01, "maxIter": 10},)
     num_features: int = 4096
@@ -56,6 +61,12 @@ class FitSettings:
     use_class_weights: bool = True
     levels: tuple[str, ...] = LEVELS
     aggregation_depth: int = 2
+    features: str = "counts"
+    dim: int = 64
+
+    def __post_init__(self):
+        if self.features not in ("counts", "embedding"):
+            raise ValueError(f"features must be 'counts' or 'embedding', got {self.features!r}")
 
 
 @dataclass(frozen=True)
@@ -88,10 +99,26 @@ def fit_parts(parts: DataFrame, settings: FitSettings = FitSettings()) -> Fitted
 
 
 def counting_stages(settings: FitSettings) -> PipelineModel:
-    return PipelineModel([
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=settings.num_features),
-    ])
+    """Text to ``counts``: a sparse vector, or the buckets of the words in order for ``features="embedding"``."""
+    tokenizer = RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True)
+    if settings.features == "embedding":
+        named = f"transform(words, w -> CAST(pmod(xxhash64(w), {settings.num_features}) AS STRING))"
+        return PipelineModel([tokenizer, SQLTransformer(statement=f"SELECT *, {named} AS counts FROM __THIS__")])
+    return PipelineModel([tokenizer, HashingTF(inputCol="words", outputCol="counts", numFeatures=settings.num_features)])
+
+
+def fit_features(train: DataFrame, settings: FitSettings) -> Transformer:
+    """The step from ``counts`` to ``features``; the mean of a text's vectors is taken inside its row."""
+    if settings.features == "counts":
+        return IDF(inputCol="counts", outputCol="features").fit(train)
+    # A fixed number of parts in a fixed order. Buckets of equal counts may still change places from fit to fit,
+    # which moves their vectors a little.
+    order = F.xxhash64("counts")
+    dealt = train.select("counts").repartition(VECTOR_PARTITIONS, order).sortWithinPartitions(order)
+    return Word2Vec(
+        vectorSize=settings.dim, minCount=1, seed=VECTOR_SEED, numPartitions=VECTOR_PARTITIONS, maxIter=1,
+        inputCol="counts", outputCol="features",
+    ).fit(dealt)
 
 
 def word_counts(parts: DataFrame, settings: FitSettings, keep: tuple[str | Column, ...] = ()) -> DataFrame:
@@ -114,15 +141,15 @@ def word_counts(parts: DataFrame, settings: FitSettings, keep: tuple[str | Colum
 def fit_counted(counted: DataFrame, settings: FitSettings) -> FittedClassifier:
     """Fit on staged word counts: each candidate only iterates over the vectors and is judged by one aggregation.
 
-    The driver holds coefficients (``levels x num_features``) and cell counts,
-    never rows.
+    The driver holds coefficients (``levels x num_features``), bucket
+    vectors (``num_features x dim``) and cell counts, never rows.
     """
     spark = counted.sparkSession
     models, cells = [], []
     used = counted.where(F.col("part").isin("train", "val"))
     in_train = F.col("part") == "train"
-    idf = IDF(inputCol="counts", outputCol="features").fit(used.where(in_train))
-    rows = idf.transform(used)
+    to_features = fit_features(used.where(in_train), settings)
+    rows = to_features.transform(used)
     for number, params in enumerate(settings.candidates, start=1):
         model = LogisticRegression(
             featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
@@ -136,7 +163,7 @@ def fit_counted(counted: DataFrame, settings: FitSettings) -> FittedClassifier:
     if chosen is None:
         raise NoUsefulCandidate("no candidate scored a macro F1 above zero on the validation rows")
     best = chosen["candidate"]
-    fitted = PipelineModel([*counting_stages(settings).stages, idf, models[best - 1]])
+    fitted = PipelineModel([*counting_stages(settings).stages, to_features, models[best - 1]])
     return FittedClassifier(fitted, settings, best, history)
 
 
@@ -185,7 +212,7 @@ def save_classifier(fitted: FittedClassifier, path: str) -> None:
     fitted.model.write().save(f"{path}/{version}")
     s = fitted.settings
     row = (
-        version, list(s.levels), s.num_features, s.alpha, s.use_class_weights, s.aggregation_depth,
+        version, list(s.levels), s.num_features, s.alpha, s.use_class_weights, s.aggregation_depth, s.features, s.dim,
         json.dumps(list(s.candidates)), fitted.best, [list(map(float, h)) for h in fitted.history], spark.version,
         time.time_ns(),
     )
@@ -212,6 +239,9 @@ def load_classifier(spark: SparkSession, path: str, levels: Sequence[str] | None
         use_class_weights=row["use_class_weights"],
         levels=tuple(row["levels"]),
         aggregation_depth=row["aggregation_depth"],
+        # Models saved before there was a choice have neither.
+        features=row["features"] or "counts",
+        dim=row["dim"] or FitSettings.dim,
     )
     history = tuple((int(h[0]), *h[1:]) for h in row["history"])
     return FittedClassifier(PipelineModel.load(f"{path}/{row['version']}"), settings, row["best"], history)
@@ -228,7 +258,7 @@ def fit_or_load(spark: SparkSession, path: str, fit: Callable[[], FittedClassifi
 
 
 def learn_token_vectors(
-    df: DataFrame, vocabulary_size: int, dim: int, text: str = "text", seed: int = 42, partitions: int = VECTOR_PARTITIONS,
+    df: DataFrame, vocabulary_size: int, dim: int, text: str = "text", seed: int = VECTOR_SEED, partitions: int = VECTOR_PARTITIONS,
     buckets: int = VECTOR_BUCKETS,
 ) -> DataFrame:
     """``(token, vector)`` learned from the corpus for its most frequent words and for buckets of all other words.
@@ -236,7 +266,8 @@ def learn_token_vectors(
     Exactly the first ``vocabulary_size`` words of :func:`learn_vocabulary` have
     a vector of their own; every other word is read as its bucket, so no word is
     lost. Vectors are averaged over ``partitions`` parts of the corpus, a fixed
-    number: they do not depend on the cluster.
+    number that does not depend on the cluster. Words of equal counts may change
+    places from fit to fit, which moves their vectors a little.
     """
     if not 0 < vocabulary_size <= MAX_VOCABULARY:
         raise ValueError(f"vocabulary size must be between 1 and {MAX_VOCABULARY}, got {vocabulary_size}")

@@ -36,7 +36,7 @@ def read_labelled(
     would change with the file splits from one scan to the next, so such a table
     is staged once, as Parquet, and read from there.
     """
-    fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    fmt = fmt or _format_of(path)
     try:
         if fmt == "csv":
             raw = (
@@ -63,6 +63,14 @@ def read_labelled(
     return rows if has_id else stage(rows, "labelled")
 
 
+def _format_of(path: str) -> str:
+    name = path.rstrip("/").lower()
+    for fmt in ("parquet", "csv"):
+        if name.endswith((f".{fmt}", f".{fmt}.gz")):
+            return fmt
+    raise ValueError(f"the name of {path} does not tell its format: pass fmt")
+
+
 def prepare_labelled(
     df: DataFrame,
     levels: Sequence[str] = LEVELS,

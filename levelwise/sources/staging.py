@@ -23,7 +23,7 @@ def staging_root(spark: SparkSession) -> str:
         context = spark.sparkContext
         configured = context.getCheckpointDir()
         if not configured:
-            if not context.master.startswith("local"):
+            if context.master.split("[")[0] != "local":
                 raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="levelwise-"))
             configured = context.getCheckpointDir()

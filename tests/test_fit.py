@@ -150,3 +150,24 @@ def test_token_vectors_when_all_counts_tie(spark):
     with pytest.raises(ValueError):
         ft.learn_token_vectors(df, vocabulary_size=ft.MAX_VOCABULARY + 1, dim=2)
     assert ft.learn_token_vectors(df, vocabulary_size=ft.MAX_VOCABULARY, dim=2).count() == 8
+
+
+def test_classifier_on_pooled_vectors(spark, parts, tmp_path):
+    settings = ft.FitSettings(features="embedding", dim=8, num_features=256)
+    fitted = ft.fit_parts(parts, settings)
+    rows = parts.select("id", "text").union(spark.createDataFrame([(-1, ""), (-2, "größer 2024")], "id long, text string"))
+    scored = score_table(fitted.model, rows, "text")
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    first = {r.id: r.probability for r in scored.select("id", "probability").collect()}
+    ft.save_classifier(fitted, f"{tmp_path}/pooled")
+    loaded = ft.load_classifier(spark, f"{tmp_path}/pooled")
+    assert loaded.settings == settings
+    assert {r.id: r.probability for r in score_table(loaded.model, rows, "text").collect()} == first
+    # Vectors are learned and pooled: the text with no word has zeros, others do not.
+    pooled = {r.id: r.features for r in fitted.model.transform(rows).collect()}
+    assert not pooled[-1].toArray().any() and pooled[-2].toArray().any()
+
+
+def test_unknown_features_are_refused():
+    with pytest.raises(ValueError):
+        ft.FitSettings(features="other")

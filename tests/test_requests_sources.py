@@ -121,6 +121,10 @@ def test_parquet_and_missing_data(spark, tmp_path):
         read_labelled(spark, f"{tmp_path}/none.csv")
     with pytest.raises(ValueError, match="no column"):
         read_labelled(spark, f"{tmp_path}/d.parquet", label="level")
+    spark.read.parquet(f"{tmp_path}/d.parquet").write.parquet(f"{tmp_path}/folder")
+    with pytest.raises(ValueError, match="pass fmt"):
+        read_labelled(spark, f"{tmp_path}/folder")
+    assert read_labelled(spark, f"{tmp_path}/folder", fmt="parquet").count() == 1
 
 
 def test_staging_uses_the_shared_folder(spark):
