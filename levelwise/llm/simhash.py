@@ -215,7 +215,11 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with the row of the smallest id of each component; identical rows of that id stay once."""
-    groups = near_components(docs, radius)
+    return smallest_of_each(docs, near_components(docs, radius))
+
+
+def smallest_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``groups`` (``_did, _tid, component``) names by their component's id, each once."""
     kept = groups.filter(F.col("_did") == F.col("component")).groupBy("component").agg(F.min(F.struct("_did", "_tid")).alias("k"))
     kept = kept.select("k._did", "k._tid")
     keyed = docs.select(F.struct("*").alias("row"), doc_key().alias("_did"), text_key().alias("_tid"))
