@@ -4,12 +4,14 @@ Documents become token ids in Arrow batches; only those longer than a sequence a
 shared out is decided by lengths alone, and there are at most ``capacity`` distinct lengths however many documents
 there are. So the corpus is reduced to a histogram of lengths (a counted aggregate) and bin completion runs on it:
 
-* take the largest length left and enumerate undominated fillings of the room around it, depth first from the
-  largest fitting length downwards;
-* best fit gives the first incumbent; a branch is pruned when its waste bound (room that even all lengths left
-  cannot fill) is no better than the incumbent's waste; a filling without waste ends the search. A step visits at
-  most ``NODES`` branches, after which its incumbent stands: nothing is left out, the bin may only be less full;
-* the filling is repeated as often as the histogram allows.
+* best fit of the whole histogram is the first incumbent, committing the least-waste filling of the largest length over
+  and over (at most ``NODES`` branches a step) the second; if the better one meets the lower bound (total length, and
+  Martello and Toth's bound on what large pieces leave), it is the answer;
+* else branch and bound over bins: the largest length left branches over its ``WIDTH`` best undominated fillings, each
+  repeated as often as the histogram allows or half as often. A branch ends when its waste leaves no room for a
+  packing with fewer sequences than the incumbent. Branches are taken by limited discrepancy (steps off the first
+  choice: none, then one, then two, ...) until the bound is met, all are done or ``BRANCHES`` were visited; then the
+  incumbent stands. Nothing is left out; a packing may have more sequences than the least possible number.
 
 The plan has at most one entry per filling and length, so its size is bounded by the capacity too. Pieces of one
 length are interchangeable: each gets an exact rank among its length, from counts per (length, bucket) and a rank
@@ -25,7 +27,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,10 @@ END_ID = 1
 BUCKETS = 256
 # Branches visited per filling; a bound on work, not on documents.
 NODES = 20_000
+# Of the search over bins: fillings per step, branches in all, and branches per step for its fillings.
+WIDTH = 8
+BRANCHES = 1_000_000
+STEP = 2_000
 # Words remembered per Python worker.
 REMEMBERED = 400_000
 
@@ -175,8 +182,11 @@ def best_filling(lengths: list[int], left: dict[int, int], room: int) -> list[tu
     return best
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Bins for all pieces: (how often, [(length, pieces of it per bin)])."""
+Bins = list[tuple[int, list[tuple[int, int]]]]
+
+
+def greedy_bins(histogram: dict[int, int], capacity: int, fill: Callable) -> Bins:
+    """Bins that take the largest length left with the filling ``fill`` gives, as often as it goes."""
     left = {length: n for length, n in histogram.items() if n > 0}
     lengths = sorted(left, reverse=True)
     bins = []
@@ -185,7 +195,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
         left[largest] -= 1
         usable = [x for x in lengths if left[x] and x <= capacity - largest]
         filling = {largest: 1}
-        for length, n in best_filling(usable, left, capacity - largest):
+        for length, n in fill(usable, left, capacity - largest):
             filling[length] = filling.get(length, 0) + n
         left[largest] += 1
         times = min(left[length] // n for length, n in filling.items())
@@ -196,6 +206,134 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     return bins
 
 
+def best_fit(lengths: list[int], left: dict[int, int], room: int) -> list[tuple[int, int]]:
+    """The largest lengths that fit, one after the other."""
+    taken = []
+    for length in lengths:
+        if n := min(left[length], room // length):
+            taken.append((length, n))
+            room -= n * length
+    return taken
+
+
+def least_sequences(histogram: dict[int, int], capacity: int) -> int:
+    """Lower bound on the number of sequences: the total, and Martello and Toth's L2."""
+    pieces = sorted((length, n) for length, n in histogram.items() if n > 0)
+    length = np.array([p[0] for p in pieces], dtype=object)
+    n = np.array([p[1] for p in pieces], dtype=object)
+    best = -(-int((length * n).sum()) // capacity) if pieces else 0
+    half = 2 * length > capacity
+    for least in {0, *(x for x in length if 2 * x <= capacity)}:
+        alone = length > capacity - least
+        large, small = half & ~alone, ~half & (length >= least)
+        free = n[large].sum() * capacity - (n[large] * length[large]).sum()
+        over = max((n[small] * length[small]).sum() - free, 0)
+        best = max(best, int(n[alone].sum() + n[large].sum() - (-over // capacity)))
+    return best
+
+
+def undominated_fillings(lengths: list[int], left: dict[int, int], room: int, most_waste: int, budget: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], int]:
+    """Up to ``WIDTH`` fillings (waste, (length, count) pairs) that leave at most ``most_waste``, and branches visited."""
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    fill = [0] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        fill[i] = min(fill[i + 1] + lengths[i] * left[lengths[i]], room + 1)
+    stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room, ())]
+    nodes = 0
+    while stack and nodes < budget:
+        at, rest, chosen = stack.pop()
+        nodes += 1
+        at = max(at, bisect_left(lengths, -rest, key=lambda x: -x))
+        if rest - fill[at] > most_waste:
+            continue
+        if at == len(lengths):
+            if not dominated(lengths, left, rest, chosen):
+                found.append((rest, list(chosen)))
+                if sum(w == 0 for w, _ in found) >= WIDTH:
+                    break
+            continue
+        length = lengths[at]
+        for n in range(min(left[length], rest // length) + 1):
+            stack.append((at + 1, rest - n * length, chosen + ((length, n),) if n else chosen))
+    # Large pieces first among equal waste: small ones are easier to place later.
+    found.sort(key=lambda f: (f[0], sum(n for _, n in f[1])))
+    return found[:WIDTH], nodes
+
+
+def dominated(lengths: list[int], left: dict[int, int], rest: int, chosen: tuple[tuple[int, int], ...]) -> bool:
+    """Whether one piece that is not in the filling could take the place of some pieces of it, or of the rest."""
+    used = dict(chosen)
+    sums = {0: 0}  # sum of chosen pieces -> most pieces with it
+    for length, n in chosen:
+        for _ in range(min(n, 4)):
+            sums |= {s + length: max(k + 1, sums.get(s + length, 0)) for s, k in list(sums.items())[:64]}
+    for s, k in sums.items():
+        # The largest length that fits in place of these pieces and is left over.
+        for length in lengths[bisect_left(lengths, -(s + rest), key=lambda x: -x) :]:
+            if length < s or length == s and k < 2:
+                break
+            if left[length] > used.get(length, 0):
+                return True
+    return False
+
+
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = BRANCHES) -> Bins:
+    """Bins for all pieces: (how often, [(length, pieces of it per bin)])."""
+    least = least_sequences(histogram, capacity)
+    number = lambda bins: sum(times for times, _ in bins)
+    best = min((greedy_bins(histogram, capacity, fill) for fill in (best_filling, best_fit)), key=number)
+    off = 0
+    while number(best) > least and branches > 0:
+        best, branches, whole = search(histogram, capacity, best, least, off, branches)
+        if whole:
+            break
+        off += 1
+    return best
+
+
+def search(histogram: dict[int, int], capacity: int, best: Bins, least: int, off: int, branches: int) -> tuple[Bins, int, bool]:
+    """Packings that leave the first choice in at most ``off`` steps; ``True`` if no branch was left for want of steps."""
+    fewest, whole = sum(times for times, _ in best), True
+    chain: list[tuple[int, list[tuple[int, int]]]] = []
+    # A state is entered with (depth, bin that led to it, sequences, pieces left, steps off the first choice left).
+    stack: list[tuple] = [(0, None, 0, {x: n for x, n in histogram.items() if n > 0}, off)]
+    while stack and branches > 0 and fewest > least:
+        depth, led, count, left, may = stack.pop()
+        del chain[max(depth - 1, 0) :]
+        if led:
+            chain.append(led)
+        if not left:
+            if count < fewest:
+                best, fewest = list(chain), count
+            continue
+        # Waste that a better packing may have from here on.
+        waste = (fewest - 1 - count) * capacity - sum(x * n for x, n in left.items())
+        if waste < 0:
+            continue
+        largest = max(left)
+        own = left | {largest: left[largest] - 1}
+        usable = sorted((x for x, n in own.items() if n and x <= capacity - largest), reverse=True)
+        fillings, nodes = undominated_fillings(usable, own, capacity - largest, min(waste, capacity), min(STEP, branches))
+        branches -= nodes + len(left)
+        whole &= nodes < STEP and len(fillings) < WIDTH
+        nexts = []
+        for _, filling in fillings:
+            taken = {largest: 1}
+            for x, n in filling:
+                taken[x] = taken.get(x, 0) + n
+            most = min(left[x] // n for x, n in taken.items())
+            whole &= most <= 2
+            for times in sorted({most, (most + 1) // 2}, reverse=True):
+                nexts.append((times, taken))
+        for i, (times, taken) in reversed(list(enumerate(nexts))):
+            if i and not may:
+                whole = False
+                continue
+            rest = {x: n - taken.get(x, 0) * times for x, n in left.items()}
+            stack.append((depth + 1, (times, sorted(taken.items(), reverse=True)), count + times, {x: n for x, n in rest.items() if n}, may - (i > 0)))
+    return best, branches, whole and not stack
+
+
 def plan_rows(bins: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int]]:
     """Where the pieces of each length go, by rank: rows of ``PLAN``."""
     used: dict[int, int] = {}

@@ -149,3 +149,25 @@ def test_damage_is_noticed():
     assert end == len(data) and warc.described(headers, block)[0] == 1
     with pytest.raises(ValueError):
         warc.described(headers, block.replace(b"payload", b"pAyload"))
+
+
+def test_bins_are_searched_beyond_the_first_filling():
+    units = {16: 1, 14: 1, 13: 1, 11: 1, 8: 1, 6: 3, 4: 1}
+    for times in (1, 1000):
+        histogram = {146 * u: n * times for u, n in units.items()}
+        bins = packing.complete_bins(histogram, 4096)
+        used: dict[int, int] = {}
+        for n, filling in bins:
+            assert sum(length * k for length, k in filling) <= 4096
+            for length, k in filling:
+                used[length] = used.get(length, 0) + n * k
+        assert used == histogram and sum(n for n, _ in bins) == 3 * times
+
+
+def test_small_packings_are_optimal():
+    draw = random.Random(11)
+    for _ in range(150):
+        sizes = sorted((draw.randint(2, 20) for _ in range(draw.randint(1, 9))), reverse=True)
+        bins = packing.complete_bins({s: sizes.count(s) for s in sizes}, 20)
+        least = packing.least_sequences({s: sizes.count(s) for s in sizes}, 20)
+        assert least <= optimum(sizes, 20) == sum(n for n, _ in bins)
