@@ -3,12 +3,15 @@
 A logged conversation that is a prefix of a longer one is a snapshot of it; of equal conversations the smallest id
 stays. What is left is rendered with a header per turn.
 
-Turn order is (turn, role, text), nulls first. The hash of a prefix is the XOR of 128-bit hashes of (position, role,
-text), so it is a running aggregate. Positions and running hashes come in two levels, blocks of ``BLOCK`` turn numbers
-and rows inside a block: a conversation that holds a third of all turns is spread over its blocks. Full hashes are a
-plain aggregate; snapshots are found by a semi join of (length, full hash) with the prefix hashes of longer
-conversations, reduced to their distinct values first. Text joins none of this: only ids, positions and hashes move,
-and the rendered segments hold the turns of one block each, so no conversation has to fit into one row.
+Turn order is (turn, role, text), nulls first. Equal rows of a conversation become one row with a count; these are
+dealt into ranges of (conversation, turn, role, text), numbered inside their range, and counted starts of the ranges
+give exact positions. So neither one conversation nor equal, null or repeated turn numbers bring rows into one task.
+
+The hash of a prefix is the XOR of 128-bit hashes of (position, role, text), so it is a running aggregate, in two
+levels: blocks of ``BLOCK`` positions and rows inside a block. Full hashes are a plain aggregate; snapshots are found
+by an anti join of (length, full hash) with the prefix hashes of longer conversations, reduced to their distinct values
+first. Text joins only the starts of its own range; ids, positions and hashes do the rest. A rendered segment holds the
+turns of one block, and its number is that of the block, so no conversation has to fit into one row or task.
 
 Defined results: null role is rendered as ``unknown`` and null text as empty, but neither equals the other when
 compared; a null conversation id is one conversation with the smallest id; a null turn number comes first; repeated
@@ -17,6 +20,10 @@ rows are turns of their own; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,31 +33,58 @@ BLOCK = 256
 NO_ID = -(2**63)
 
 
-def _keyed(turns: DataFrame, block: int) -> DataFrame:
-    return turns.select(
-        F.coalesce("conv_id", F.lit(NO_ID)).alias("conv"), "turn", "role", "text",
-        F.coalesce(F.floor(F.col("turn") / block), F.lit(NO_ID)).cast("long").alias("block"),
-    )
+RUNS = "conv long, part int, at long, n long, role string, text string"
 
 
-def positions(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``conv, block, turn, role, text, pos``: exact position of every turn, from 0."""
-    keyed = _keyed(turns, block)
-    sizes = keyed.groupBy("conv", "block").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("conv", "block").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    numbered = keyed.withColumn("nth", F.row_number().over(inside) - 1)
-    return numbered.join(starts, ["conv", "block"]).withColumn("pos", F.col("start") + F.col("nth")).drop("nth", "start")
+def runs(turns: DataFrame) -> DataFrame:
+    """``RUNS``: different rows in turn order; ``at`` counts the turns of the conversation before it in its range."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, before = None, 0
+        for batch in batches:
+            own, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("conv", "n"))
+            if not len(own):
+                continue
+            ends = np.cumsum(n)
+            head = np.searchsorted(own, own, "left")  # first row of the same conversation
+            at = ends - n - (ends - n)[head] + np.where(own == conv, before, 0)
+            conv, before = own[-1], at[-1] + n[-1]
+            yield pa.record_batch([batch.column("conv"), batch.column("part"), pa.array(at), *(batch.column(c) for c in ("n", "role", "text"))], names=["conv", "part", "at", "n", "role", "text"])
+
+    order = ["conv", F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
+    keyed = turns.select(F.coalesce("conv_id", F.lit(NO_ID)).cast("long").alias("conv"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
+    counted = keyed.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("n"))
+    # A range of its own number, since the default lets Spark join ranges.
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counted.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return stage(ranged.select("conv", F.spark_partition_id().alias("part"), "n", "role", "text").mapInArrow(number, RUNS), "runs")
+
+
+def starts(numbered: DataFrame) -> DataFrame:
+    """``conv, part, start``: position of a conversation's first turn in each of its ranges."""
+    sizes = numbered.groupBy("conv", "part").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("conv", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
 
 
-def _turn_hash(salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), "pos", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+def in_blocks(numbered: DataFrame, begun: DataFrame, block: int, *columns: Column | str) -> DataFrame:
+    """``conv, block, pos, n`` and ``columns``: every run cut at the ends of blocks of positions."""
+    first = F.col("start") + F.col("at")
+    placed = numbered.join(begun, ["conv", "part"]).select("conv", first.alias("first"), (first + F.col("n")).alias("beyond"), *columns)
+    blocks = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("beyond") - 1) / block))
+    names = [c for c in placed.columns if c not in ("conv", "first", "beyond")]
+    cut = placed.select("conv", F.explode(blocks).alias("block"), "first", "beyond", *names)
+    pos = F.greatest("first", F.col("block") * block)
+    return cut.select("conv", "block", pos.alias("pos"), (F.least("beyond", (F.col("block") + 1) * block) - pos).alias("n"), *names)
 
 
-def prefix_hashes(placed: DataFrame) -> DataFrame:
+def prefix_hashes(numbered: DataFrame, begun: DataFrame, block: int = BLOCK) -> DataFrame:
     """``conv, n, p1, p2``: hash of the first ``n`` turns, for every turn."""
-    hashed = placed.select("conv", "block", "pos", _turn_hash(1).alias("t1"), _turn_hash(2).alias("t2"))
+    content = [F.xxhash64(F.lit(i), F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias(f"h{i}") for i in (1, 2)]
+    texts = numbered.select("conv", "part", "at", "n", *content)
+    placed = in_blocks(texts, begun, block, "h1", "h2")
+    placed = placed.select("conv", "block", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos"), "h1", "h2")
+    hashed = placed.select("conv", "block", "pos", *(F.xxhash64(F.lit(i), "pos", f"h{i}").alias(f"t{i}") for i in (1, 2)))
     sums = hashed.groupBy("conv", "block").agg(F.bit_xor("t1").alias("s1"), F.bit_xor("t2").alias("s2"))
     earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
@@ -62,9 +96,9 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
     )
 
 
-def maximal_conversations(placed: DataFrame) -> DataFrame:
+def maximal_conversations(numbered: DataFrame, begun: DataFrame, block: int = BLOCK) -> DataFrame:
     """``conv`` of conversations that are no prefix of a longer one, the smallest id of equal ones."""
-    prefixes = stage(prefix_hashes(placed), "prefixes")
+    prefixes = stage(prefix_hashes(numbered, begun, block), "prefixes")
     lengths = prefixes.groupBy("conv").agg(F.max("n").alias("length"))
     tagged = prefixes.join(lengths, "conv")
     key = ["n", "p1", "p2"]
@@ -80,20 +114,20 @@ def rendered_turn() -> Column:
 
 def render(placed: DataFrame) -> DataFrame:
     """``conv, segment, first_turn, n_turns, rendered``; segments of a conversation are read in order."""
-    parts = F.array_sort(F.collect_list(F.struct("pos", rendered_turn().alias("part"))))
-    segments = placed.groupBy("conv", "block").agg(parts.alias("parts"))
-    nth = F.row_number().over(Window.partitionBy("conv").orderBy("block")) - 1
+    parts = F.array_sort(F.collect_list(F.struct("pos", "n", rendered_turn().alias("part"))))
+    segments = placed.groupBy("conv", "block").agg(F.sum("n").alias("n_turns"), parts.alias("parts"))
     return segments.select(
-        "conv", nth.cast("long").alias("segment"), F.col("parts")[0]["pos"].alias("first_turn"),
-        F.size("parts").cast("long").alias("n_turns"), F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("rendered"),
+        "conv", F.col("block").alias("segment"), F.col("parts")[0]["pos"].alias("first_turn"), "n_turns",
+        F.array_join(F.transform("parts", lambda p: F.repeat(p["part"], p["n"].cast("int"))), "").alias("rendered"),
     )
 
 
 def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """``conv_id, segment, first_turn, n_turns, rendered`` of the maximal conversations."""
-    placed = positions(turns, block)
-    kept = maximal_conversations(placed)
-    chosen = render(placed.join(kept, "conv", "left_semi"))
+    numbered = runs(turns)
+    begun = stage(starts(numbered), "starts")
+    kept = begun.join(maximal_conversations(numbered, begun, block), "conv", "left_semi")
+    chosen = render(in_blocks(numbered, kept, block, "role", "text"))
     return chosen.select(F.nullif(F.col("conv"), F.lit(NO_ID)).alias("conv_id"), "segment", "first_turn", "n_turns", "rendered")
 
 

@@ -116,3 +116,16 @@ def test_maximal_conversations_match_brute_force(spark, block):
 
 def test_no_conversations(spark):
     assert chat.format_chats(turns_of(spark, [])).count() == 0
+
+
+def test_segments_follow_positions_whatever_the_turn_numbers(spark):
+    rows = [(None, None, "user", f"t{i:05}") for i in range(1000)] + [(1, 7, "user", f"u{i:05}") for i in range(700)] + [(2, 10 * i, "user", "far") for i in range(40)]
+    rows += [(3, 0, None, "again")] * 900 + [(4, 0, None, "again")] * 300
+    found = chat.format_chats(turns_of(spark, rows), 64).collect()
+    assert max(r.n_turns for r in found) == 64
+    assert {r.conv_id for r in found} == {None, 1, 2, 3}
+    for conv, n in ((None, 1000), (1, 700), (2, 40), (3, 900)):
+        own = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.segment)
+        assert [(r.segment, r.first_turn) for r in own] == [(i, 64 * i) for i in range(-(-n // 64))]
+        expected = [f"<|{role or 'unknown'}|>\n{text}<|end|>\n" for c, _, role, text in rows if c == conv]
+        assert "".join(r.rendered for r in own) == "".join(expected)
