@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from levelwise.llm import chat, decontaminate, line_dedup, maxscore, packing, quality, simhash, suffix_dedup, toxicity, warc
+from levelwise.llm import (
+    chat, clustering, decontaminate, line_dedup, maxscore, packing, pii, quality, simhash, suffix_dedup, toxicity, warc,
+    whitening,
+)
 from levelwise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -16,6 +19,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_centroid_clustering": clustering.op12_centroid_clustering,
+    "op13_pii": pii.op13_pii,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_top_k": maxscore.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_warc": warc.SQL,
+    "op12_centroid_clustering": clustering.SQL,
 }
