@@ -2,13 +2,14 @@
 
 1. Every text becomes a 64-bit SimHash of its 3-word shingles (Arrow batches, whole texts, bounded memory).
 2. Equal fingerprints collapse to one row, so a group of copies of any size is a single node.
-3. Two fingerprints within ``RADIUS`` = 2 bits agree on at least four of six bit blocks. Each fingerprint goes to the
-   15 shards named by its choices of four blocks (42 bits or more), and every linked pair meets in a shard. A shard
-   has at most 2**22 different members, whatever the corpus holds, so no group is unbounded.
-4. A shard's members form a BK-tree: a child hangs under its parent by its Hamming distance to it. Trees are sent as
-   arrays to the task of their shard, all members query them, and only edges within the radius of the distance to the
-   parent are followed. Links join a disjoint-set in the task: a shard leaves one row per linked member, never all
-   pairs.
+3. Bits fall into ``radius + 4`` blocks. Two fingerprints within the radius agree on at least four of them. Each
+   fingerprint goes to the shards named by its choices of four blocks (15 of at least 42 bits for a radius of 2), and
+   every linked pair meets in a shard. A shard has at most 2**22 different members for a radius of 2, whatever the
+   corpus holds, so no group is unbounded.
+4. A shard's members form a BK-tree: a child hangs under its parent by its Hamming distance to it. Trees are not
+   broadcast, since together they hold all fingerprints: each is built once, in the task of its shard, where its
+   queries meet it. Only edges within the radius of the distance to the parent are followed. Links join a
+   disjoint-set in the task: a shard leaves one row per linked member, never all pairs.
 5. Components come from rounds of min-label and pointer jumping, each round a written table in the shared folder.
 
 Defined results: null or empty text has no words and fingerprint zero, linked like any other; a null id counts as
@@ -31,8 +32,8 @@ from levelwise.llm.common import doc_key, from_doc_key, read, stage, text_key
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-# First bit and width of the six blocks.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+# Blocks that linked fingerprints agree on, and the largest radius: its shards are 495 a fingerprint.
+AGREED, WIDEST = 4, 8
 # Members of shards that a task holds at a time, cut between shards, and pairs of query and tree node.
 MEMBERS = 500_000
 PAIRS = 1_000_000
@@ -61,23 +62,32 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``_did, _tid, fp`` for every row of ``docs``."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            found = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), "uint64", len(texts)).view("int64")
+            found = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), "uint64", len(texts)).view("int64")
             yield pa.record_batch([batch.column("_did"), batch.column("_tid"), pa.array(found)], names=["_did", "_tid", "fp"])
 
     keyed = docs.select(doc_key().alias("_did"), text_key().alias("_tid"), "text")
     return keyed.mapInArrow(compute, "_did long, _tid long, fp long")
 
 
-def shard_keys(fp: str = "fp") -> Column:
+def blocks(radius: int) -> list[tuple[int, int]]:
+    """First bit and width of ``radius + 4`` blocks."""
+    if not 0 <= radius <= WIDEST:
+        raise ValueError(f"radius must be 0 to {WIDEST}, not {radius}")
+    n = radius + AGREED
+    ends = [64 * i // n for i in range(n + 1)]
+    return [(low, high - low) for low, high in zip(ends, ends[1:])]
+
+
+def shard_keys(radius: int = RADIUS, fp: str = "fp") -> Column:
     """One key for each choice of four blocks."""
     keys = []
-    for n, chosen in enumerate(combinations(BLOCKS, len(BLOCKS) - RADIUS)):
+    for n, chosen in enumerate(combinations(blocks(radius), AGREED)):
         mask = sum(((1 << width) - 1) << at for at, width in chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.xxhash64(F.lit(n), F.col(fp).bitwiseAND(F.lit(signed).cast("long"))))
@@ -181,7 +191,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         for a, b in shard_links(whole_shards(batches), radius):
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    shards = nodes.select(F.explode(shard_keys()).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
+    shards = nodes.select(F.explode(shard_keys(radius)).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
     return shards.mapInArrow(link, "a long, b long").distinct()
 
 
@@ -202,9 +212,9 @@ def min_labels(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``_did, _tid, fp, component`` per row of ``docs``; the component is its smallest ``_did``."""
-    found = stage(fingerprints(docs), "fingerprints")
+    found = stage(fingerprints(docs, shingle), "fingerprints")
     nodes = stage(found.groupBy("fp").agg(F.min("_did").alias("first")), "nodes")
     labels = min_labels(fingerprint_links(nodes, radius))
     grouped = nodes.join(labels, nodes["fp"] == labels["v"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
@@ -213,9 +223,9 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.join(members, "fp").select("_did", "_tid", "fp", "component")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the row of the smallest id of each component; identical rows of that id stay once."""
-    return smallest_of_each(docs, near_components(docs, radius))
+    return smallest_of_each(docs, near_components(docs, radius, shingle))
 
 
 def smallest_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import uuid
 from base64 import b32decode, b32encode
@@ -34,6 +35,8 @@ from levelwise.llm.common import read, stage
 from levelwise.sources.staging import staging_path
 
 FRAME_BYTES = 1 << 20
+# Bytes of records that a task reads back.
+READ_BYTES = 16 << 20
 MIN_BYTES = 1000
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
@@ -226,6 +229,12 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
                            names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"])
 
 
+def read_tasks(index: DataFrame) -> int:
+    """Tasks in proportion to the records' bytes. Index rows are tiny, so Spark's own sizing would put all in one task."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return max(1, math.ceil(total / READ_BYTES))
+
+
 def scan(index: DataFrame) -> DataFrame:
     """Every record of the indexed bundles, read frame by frame."""
 
@@ -239,8 +248,8 @@ def scan(index: DataFrame) -> DataFrame:
                     rows.append(described(headers, block))
                 yield _records(rows)
 
-    frames = index.select("bundle", "frame").distinct()
-    return frames.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(parse_all, RECORD)
+    frames = index.select("bundle", "frame").distinct().repartition(read_tasks(index), "bundle", "frame")
+    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(parse_all, RECORD)
 
 
 def fetch(index: DataFrame) -> DataFrame:
@@ -258,8 +267,8 @@ def fetch(index: DataFrame) -> DataFrame:
                 rows.append(described(headers, block))
             yield _records(rows)
 
-    places = index.select("bundle", "frame", "offset")
-    return places.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(parse_some, RECORD)
+    places = index.select("bundle", "frame", "offset").repartition(read_tasks(index), "bundle", "frame")
+    return places.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(parse_some, RECORD)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

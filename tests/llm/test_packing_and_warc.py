@@ -123,6 +123,14 @@ def test_archives_return_what_was_written(spark):
     assert sorted(r.page_id for r in some) == [4, 8, 8]
 
 
+def test_archives_are_read_back_in_proportion_to_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 10_000)
+    index = warc.write_bundles(pages_table(spark, [(i, "u", f"{i} " * 900) for i in range(40)]), frame_bytes=4000)
+    tasks = warc.read_tasks(index)
+    assert tasks >= 10 and warc.scan(index).rdd.getNumPartitions() == tasks
+    assert sorted(r.page_id for r in warc.scan(index).collect()) == list(range(40))
+
+
 def test_bundles_are_seekable_zstandard(spark):
     import zstandard
 

@@ -103,6 +103,30 @@ def test_components_match_brute_force(docs):
     assert len({r.component for r in found}) < len(rows)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3, 6, 8])
+def test_links_of_any_radius_are_whole(spark, radius):
+    g = np.random.default_rng(radius)
+    base = g.integers(0, 2**63, 12).astype("uint64")
+    flips = [base ^ np.bitwise_or.reduce(np.uint64(1) << g.integers(0, 64, (n, 12)).astype("uint64"), axis=0) for n in range(1, 12)]
+    fps = np.unique(np.concatenate([base, *flips]))
+    nodes = spark.createDataFrame([(int(v),) for v in fps.view("int64")], "fp long")
+    found = simhash.min_labels(simhash.fingerprint_links(nodes, radius)).collect()
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    signed, label = fps.view("int64"), np.arange(len(fps))
+    for a, b in np.argwhere(near):
+        label[label == max(label[a], label[b])] = min(label[a], label[b])
+    groups = {}
+    for i, own in enumerate(label):
+        groups.setdefault(own, []).append(int(signed[i]))
+    expected = {v: min(own) for own in groups.values() if len(own) > 1 for v in own}
+    assert {r.v: r.label for r in found} == expected
+
+
+def test_radius_beyond_the_blocks_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.blocks(9)
+
+
 def test_bk_forest_finds_every_pair_within_the_radius():
     g = np.random.default_rng(4)
     fp = np.unique((g.integers(0, 2**63, 40).astype("uint64")[:, None] ^ (np.uint64(1) << g.integers(0, 64, (40, 30)).astype("uint64"))).ravel().view("int64"))
