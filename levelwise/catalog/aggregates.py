@@ -168,7 +168,7 @@ vocabulary AS (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM (
     SELECT token, count(*) AS n FROM words GROUP BY token ORDER BY n DESC, token LIMIT {EMBED_WORDS})),
 known AS (
-  SELECT id, coalesce(token_id, 100000 + (unicode(token) * 31 + length(token)) % {EMBED_BUCKETS}) AS token_id, count(*) AS n
+  SELECT id, coalesce(token_id, 100000 + CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {EMBED_BUCKETS}) AS token_id, count(*) AS n
   FROM words LEFT JOIN vocabulary USING (token) GROUP BY ALL),
 pooled AS (
   SELECT id, i, sum(n * (token_id * (i + 7) % 101) / 101.0::DOUBLE) / sum(n) AS value

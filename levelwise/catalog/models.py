@@ -9,6 +9,7 @@ from levelwise.catalog import fixtures as fx
 from levelwise.catalog.registry import query
 from levelwise.functions.labels import LEVELS
 from levelwise.operators import pooling, requests as rq, score as sc
+from levelwise.operators.encoder import embedding_projection, score_encoded as score_by_encoder
 from levelwise.plans import fit as ft, training as tr
 from levelwise.plans.report import report_rows
 from levelwise.sources.exchange import parse_requests
@@ -80,6 +81,25 @@ def score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("vec_id", "pred_id", "cefr", F.round("confidence", 6).alias("confidence"))
 
 
+PROJECTED = 8
+PROJECTION_SQL = f"""projected AS (
+  SELECT vec_id, list(v ORDER BY j) AS f FROM (
+    SELECT vec_id, j, sum(x * (CAST((j * 29 + i * 11) % 17 - 8 AS DOUBLE) / 8.0::DOUBLE)) AS v FROM (
+      SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range({fx.DIM})) AS i FROM embeddings),
+      (SELECT unnest(range({PROJECTED})) AS j) GROUP BY vec_id, j) GROUP BY vec_id)"""
+
+
+@query(f"""WITH {PROJECTION_SQL}, {fx.head_sql("projected", "vec_id", "f", PROJECTED, "sqrt(k + 1) / 1000.0::DOUBLE")},
+{BEST_SQL.format(key="vec_id")}
+SELECT vec_id, pred_id, {CODE_OF_PRED} AS cefr, round(confidence, 6) AS confidence FROM best""")
+def score_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors passed through an encoder of the caller's own and scored by a fixed head."""
+    weights = [[((j * 29 + i * 11) % 17 - 8) / 8.0 for i in range(fx.DIM)] for j in range(PROJECTED)]
+    scored = score_by_encoder(
+        fx.table(spark, sf_dir, "embeddings"), embedding_projection(weights), fx.fixed_head(PROJECTED), fx.sentence_bias(), "embedding")
+    return scored.select("vec_id", "pred_id", "cefr", F.round("confidence", 6).alias("confidence"))
+
+
 def _score_sentences(rows: DataFrame) -> DataFrame:
     return sc.score_linear(rows.withColumn("features", fx.sentence_features()), fx.fixed_head(4), fx.sentence_bias())
 

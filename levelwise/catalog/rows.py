@@ -13,9 +13,10 @@ from levelwise.functions.labels import (
     levels_dim as dimension,
 )
 from levelwise.functions.measures import signed_diff as signed
-from levelwise.functions.text import clean_text as strip, text_preview as preview
+from levelwise.functions.text import clean_text as strip, text_preview as preview, words as words_of
 from levelwise.operators import errors, requests as rq, weights as wt
 from levelwise.operators.encode import encode_corpus as encode, learn_vocabulary as learn, real_tokens
+from levelwise.operators.pieces import encode_pieces as pieces_of
 from levelwise.sources.exchange import read_requests, request_payloads, write_predictions
 from levelwise.sources.labelled import prepare_labelled, read_labelled as read
 from levelwise.sources.staging import staging_path
@@ -147,6 +148,48 @@ def encode_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encoded(spark, sf_dir, 30000, 128)
 
 
+CHARACTER_IDS = 100_000
+PIECE_LENGTH = 32
+
+
+@query(f"""WITH RECURSIVE {VOCABULARY_SQL.format(size=2000)}, words AS (
+  SELECT doc_id AS id, ({fx.WORDS_SQL.format(text='text')})[1:{PIECE_LENGTH - 2}] AS w FROM documents),
+tokens AS (SELECT id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS pos FROM words),
+different AS (SELECT DISTINCT token AS word FROM tokens),
+pieces AS (
+  SELECT token, token_id FROM vocabulary
+  UNION ALL SELECT DISTINCT c, ({CHARACTER_IDS} + unicode(c))::INT FROM (SELECT unnest(string_split(word, '')) AS c FROM different)
+  WHERE c NOT IN (SELECT token FROM vocabulary)),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS place FROM different),
+longest AS (
+  SELECT word, place, max(length(p.token)) AS n, arg_max(p.token_id, length(p.token)) AS token_id
+  FROM (SELECT word, place, unnest(range(1, least(length(word) - place + 1, (SELECT max(length(token)) FROM pieces)) + 1)) AS size FROM places) c
+  JOIN pieces p ON p.token = substr(c.word, c.place, c.size) GROUP BY word, place),
+walk(word, place, ids) AS (
+  SELECT word, 1::BIGINT, []::INT[] FROM different
+  UNION ALL SELECT k.word, k.place + l.n, list_append(k.ids, l.token_id) FROM walk k JOIN longest l ON l.word = k.word AND l.place = k.place),
+cut AS (SELECT word, ids FROM walk WHERE place > length(word)),
+joined AS (
+  SELECT t.id, flatten(list(c.ids ORDER BY t.pos)) AS body FROM tokens t JOIN cut c ON c.word = t.token GROUP BY t.id),
+encoded AS (
+  SELECT w.id, list_concat(list_concat([2], COALESCE(j.body, []::INT[])[1:{PIECE_LENGTH - 2}]), [3]) AS a
+  FROM words w LEFT JOIN joined j USING (id))
+SELECT id, len(a)::INT AS n_tokens,
+       rtrim(array_to_string(a, ' ') || repeat(' 0', CAST({PIECE_LENGTH} - len(a) AS INT))) AS input_ids
+FROM encoded""")
+def encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words cut into the longest of given pieces: frequent words and single characters."""
+    docs = fx.level_docs(spark, sf_dir)
+    whole = learn(docs, 2000).select("token", "token_id")
+    seen = docs.select(F.explode(F.array_distinct(F.split(F.concat_ws("", F.slice(words_of("text"), 1, PIECE_LENGTH - 2)), ""))).alias("token"))
+    seen = seen.where(F.col("token") != "").distinct().join(whole, "token", "left_anti")
+    # One row per character: as many as the scripts have.
+    numbered = [(r["token"], CHARACTER_IDS + ord(r["token"])) for r in seen.collect()]
+    characters = spark.createDataFrame(numbered, "token string, token_id int")
+    encoded = pieces_of(docs, whole.union(characters), max_length=PIECE_LENGTH)
+    return encoded.select("id", real_tokens().alias("n_tokens"), F.array_join("input_ids", " ").alias("input_ids"))
+
+
 HEAD = fx.head_sql("embeddings", "vec_id", "embedding", fx.DIM)
 PROB_SQL = f"""{HEAD}, probs AS (
   SELECT vec_id, k, logit, exp(logit - max(logit) OVER (PARTITION BY vec_id))

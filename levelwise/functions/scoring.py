@@ -10,25 +10,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Weights of a head that is written out term by term.
+SCALAR_TERMS = 128
+
+
 def linear_head(
     features: Column | str,
     weights: Sequence[Sequence[float]],
     bias: Sequence[float] | None = None,
 ) -> Column:
-    """Affine map ``W x + b`` as an array with one logit per row of ``weights``."""
-    features = _col(features).cast("array<double>")
+    """Affine map ``W x + b`` as an array with one logit per row of ``weights``.
+
+    Up to :data:`SCALAR_TERMS` weights become plain scalar products, so that the head is generated code without
+    lambdas. More of them would not fit one generated method; each logit is then an aggregate over the array.
+    """
+    features = _col(features)
     bias = [0.0] * len(weights) if bias is None else bias
     if len(bias) != len(weights):
         raise ValueError("bias needs one value per row of weights")
-
-    def logit(row: Sequence[float], intercept: float) -> Column:
-        products = F.zip_with(features, F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w)
-        return F.aggregate(products, F.lit(float(intercept)), add)
-
     widths = {len(row) for row in weights}
     if len(widths) != 1:
         raise ValueError("all rows of weights need the same length")
-    return of_length(features, widths.pop(), F.array(*[logit(row, b) for row, b in zip(weights, bias)]))
+    width = widths.pop()
+    if width * len(weights) <= SCALAR_TERMS:
+        entries = [F.get(features, i).cast("double") for i in range(width)]
+
+        def logit(row: Sequence[float], intercept: float) -> Column:
+            return balanced_sum([entry * float(w) for entry, w in zip(entries, row)] + [F.lit(float(intercept))])
+    else:
+        doubles = features.cast("array<double>")
+
+        def logit(row: Sequence[float], intercept: float) -> Column:
+            products = F.zip_with(doubles, F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w)
+            return F.aggregate(products, F.lit(float(intercept)), add)
+
+    return of_length(features, width, F.array(*[logit(row, b) for row, b in zip(weights, bias)]))
+
+
+def balanced_sum(terms: Sequence[Column]) -> Column:
+    """Sum as a tree, which stays shallow for many terms."""
+    if len(terms) == 1:
+        return terms[0]
+    half = len(terms) // 2
+    return balanced_sum(terms[:half]) + balanced_sum(terms[half:])
 
 
 def of_length(values: Column, length: int, result: Column) -> Column:

@@ -69,10 +69,13 @@ def encode_corpus(
     if vocabulary.limit(MAX_VOCABULARY + 1).count() <= MAX_VOCABULARY:
         rows = df.select(id_col, *keep, F.transform(first, lookup(vocabulary)).alias("body"))
     else:
-        tokens = df.select(id_col, F.posexplode(first).alias("pos", "token")).join(vocabulary.select("token", "token_id"), "token", "left")
-        placed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id"))))
-        bodies = tokens.groupBy(id_col).agg(F.transform(placed, lambda t: t["token_id"]).alias("body"))
-        rows = df.select(id_col, *keep).join(bodies, id_col, "left")
+        # Every row has a key of its own: ids may repeat or be missing.
+        keyed = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(id_col, *keep).alias("_kept"), first.alias("_words"))
+        tokens = keyed.select("_row", "_kept", F.posexplode_outer("_words").alias("pos", "token"))
+        known = tokens.join(vocabulary.select("token", "token_id"), "token", "left")
+        placed = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id")))))
+        bodies = known.groupBy("_row").agg(F.first("_kept").alias("_kept"), F.transform(placed, lambda t: t["token_id"]).alias("body"))
+        rows = bodies.select("_kept.*", "body")
     real = F.concat(F.array(F.lit(START)), F.coalesce("body", F.array().cast("array<int>")), F.array(F.lit(END)))
     with_ids = rows.select(id_col, *keep, real.alias("ids"))
     pads = F.lit(max_length) - F.size("ids")
@@ -112,7 +115,7 @@ def real_tokens(mask: Column | str = "attention_mask") -> Column:
 
 
 def bucket(word: Column | str, buckets: int) -> Column:
-    """Name of the bucket of a word outside a vocabulary; no word has such a name."""
+    """Name of the bucket of a word outside a vocabulary, by a hash of the whole word; no word has such a name."""
     word = F.col(word) if isinstance(word, str) else word
-    number = F.pmod(F.ascii(word) * 31 + F.length(word), F.lit(buckets))
+    number = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % buckets
     return F.concat(F.lit("#"), number.cast("string"))

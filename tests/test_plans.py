@@ -7,7 +7,7 @@ import pytest
 from levelwise.catalog import aggregates, checks, models, rows  # noqa: F401  (they register the queries)
 from levelwise.catalog.registry import ORACLES, QUERIES
 
-NARROW = ("encode_corpus", "score_requests", "clean_text", "text_preview", "request_status", "label_to_id", "softmax", "score_linear")
+NARROW = ("encode_corpus", "encode_pieces", "embed_text_fixed", "score_encoded", "score_requests", "clean_text", "text_preview", "request_status", "label_to_id", "softmax", "score_linear")
 
 
 def plan_of(df) -> str:
@@ -43,9 +43,22 @@ def test_split_assigns_rows_without_moving_them(spark, sf_dir):
 
 
 def test_aggregates_combine_before_the_shuffle(spark, sf_dir):
-    for name in ("confusion_matrix", "class_weights", "mean_pool", "embed_text_fixed"):
+    for name in ("confusion_matrix", "class_weights", "mean_pool"):
         assert "partial_" in plan_of(QUERIES[name](spark, sf_dir))
 
 
 def test_top_errors_is_a_top_k(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan_of(QUERIES["top_errors"](spark, sf_dir))
+
+
+def test_heads_have_no_lambdas(spark, sf_dir):
+    for name in ("score_encoded", "score_requests"):
+        assert not re.search(r"zip_with|aggregate\(", plan_of(QUERIES[name](spark, sf_dir)))
+
+
+def test_pooling_has_one_state_for_any_width(spark):
+    from levelwise.operators.pooling import mean_pool
+
+    rows = spark.createDataFrame([(0, [1.0] * 768)], "id int, vec array<double>")
+    plan = plan_of(mean_pool(rows, 768))
+    assert plan.count("sum(") <= 8 and "partial_aggregate_metrics" in plan

@@ -15,7 +15,7 @@ def test_confusion_diagonal(spark):
 
 def test_encoding_of_the_first_document(spark):
     row = QUERIES["encode_corpus_short"](spark, SF).where("id = 0").first()
-    assert row["input_ids"] == "2 1 1 1 18 29 1 64 48 12 1 75 128 1 7 3"
+    assert row["input_ids"] == "2 1 1 1 23 1 1 1 39 10 1 98 1 6 1 3"
 
 
 def test_split_sizes(spark):
@@ -30,7 +30,7 @@ def test_entry_is_the_class_report(spark):
 
 
 def test_stream_and_batch_queries_agree(spark, sf_dir):
-    batch, stream = QUERIES["score_requests"](spark, sf_dir), QUERIES["score_stream"](spark, sf_dir)
+    batch, stream = QUERIES["score_request_log"](spark, sf_dir), QUERIES["score_stream"](spark, sf_dir)
     assert batch.count() == stream.count() and batch.exceptAll(stream).count() == 0
 
 
