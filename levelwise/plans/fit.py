@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -92,10 +93,56 @@ def fit_classifier(train: DataFrame, val: DataFrame, settings: FitSettings = Fit
     return fit_parts(both, settings)
 
 
-def fit_parts(parts: DataFrame, settings: FitSettings = FitSettings()) -> FittedClassifier:
-    """The same on one frame ``text, label_id, split``; other values of ``split`` are left out."""
+def fit_parts(parts: DataFrame, settings: FitSettings = FitSettings(), resume: str | None = None) -> FittedClassifier:
+    """The same on one frame ``text, label_id, split``; other values of ``split`` are left out.
+
+    ``resume`` names a folder that keeps finished candidates, so that a fit that
+    was stopped goes on after the last of them (:class:`FitLog`).
+    """
     with staged(word_counts(parts.where(F.col("split").isin("train", "val")), settings), "counts") as counted:
-        return fit_counted(counted, settings)
+        return fit_counted(counted, settings, FitLog.of(resume, counted, settings) if resume else None)
+
+
+class FitLog:
+    """Commit log of a fit: the feature step and every finished candidate with its cells.
+
+    Entries belong to one set of rows and settings; a fit on others finds none
+    of them. A part is written into a fresh folder first; the row that names it
+    is appended last, so a crash in between leaves the part undone. Numbers of
+    candidates are not part of the key: adding candidates at the end of a list
+    reuses those before it.
+    """
+
+    ENTRY = "name string, params string, version string, cells string, saved long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def of(cls, folder: str, counted: DataFrame, settings: FitSettings) -> FitLog:
+        rows = F.xxhash64("part", "label_id", "weight", "counts").cast("decimal(38,0)")
+        n, total = counted.agg(F.count(F.lit(1)), F.sum(rows)).first()
+        own = [n, str(total), settings.num_features, settings.features, settings.dim, list(settings.levels), settings.aggregation_depth]
+        return cls(counted.sparkSession, f"{folder}/fit-{hashlib.sha256(json.dumps(own).encode()).hexdigest()[:24]}")
+
+    def get(self, name: str, params: dict) -> tuple[Transformer, list[tuple]] | None:
+        """A finished part and its cells."""
+        try:
+            rows = self.spark.read.schema(self.ENTRY).json(f"{self.path}/log")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        done = rows.where((F.col("name") == name) & (F.col("params") == json.dumps(params, sort_keys=True))).orderBy(F.desc("saved")).first()
+        if done is None:
+            return None
+        return PipelineModel.load(f"{self.path}/{done['version']}").stages[0], [tuple(cell) for cell in json.loads(done["cells"])]
+
+    def put(self, name: str, params: dict, part: Transformer, cells: list[tuple] = ()) -> None:
+        version = f"{name}-{uuid.uuid4().hex}"
+        PipelineModel([part]).write().save(f"{self.path}/{version}")
+        row = (name, json.dumps(params, sort_keys=True), version, json.dumps([list(cell) for cell in cells]), time.time_ns())
+        self.spark.createDataFrame([row], self.ENTRY).coalesce(1).write.mode("append").json(f"{self.path}/log")
 
 
 def counting_stages(settings: FitSettings) -> PipelineModel:
@@ -138,9 +185,11 @@ def word_counts(parts: DataFrame, settings: FitSettings, keep: tuple[str | Colum
         F.col("split").alias("part"), "label_id", weight.alias("weight"), "counts", *kept)
 
 
-def fit_counted(counted: DataFrame, settings: FitSettings) -> FittedClassifier:
+def fit_counted(counted: DataFrame, settings: FitSettings, log: FitLog | None = None) -> FittedClassifier:
     """Fit on staged word counts: each candidate only iterates over the vectors and is judged by one aggregation.
 
+    What ``log`` holds is not fitted again.
+
     The driver holds coefficients (``levels x num_features``), bucket
     vectors (``num_features x dim``) and cell counts, never rows.
     """
@@ -148,15 +197,25 @@ def fit_counted(counted: DataFrame, settings: FitSettings) -> FittedClassifier:
     models, cells = [], []
     used = counted.where(F.col("part").isin("train", "val"))
     in_train = F.col("part") == "train"
-    to_features = fit_features(used.where(in_train), settings)
+    done = log.get("features", {}) if log else None
+    to_features = done[0] if done else fit_features(used.where(in_train), settings)
+    if log and not done:
+        log.put("features", {}, to_features)
     rows = to_features.transform(used)
     for number, params in enumerate(settings.candidates, start=1):
-        model = LogisticRegression(
-            featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
-            aggregationDepth=settings.aggregation_depth, **params,
-        ).fit(rows.where(in_train))
+        done = log.get("candidate", params) if log else None
+        if done:
+            model, own = done
+        else:
+            model = LogisticRegression(
+                featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
+                aggregationDepth=settings.aggregation_depth, **params,
+            ).fit(rows.where(in_train))
+            own = _scored_cells(model, rows)
+            if log:
+                log.put("candidate", params, model, own)
         models.append(model)
-        cells += [(number, *cell) for cell in _scored_cells(model, rows)]
+        cells += [(number, *cell) for cell in own]
 
     history = _history(spark, cells)
     chosen = select_best(spark.createDataFrame(history, HISTORY_SCHEMA).coalesce(1)).first()

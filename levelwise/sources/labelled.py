@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS, encode_labels
 from levelwise.functions.text import null_as_text
+from levelwise.sources.records import read_split_csv
 from levelwise.sources.staging import stage
 
 
@@ -24,21 +25,24 @@ def read_labelled(
     text: str = "text",
     label: str = "label",
     id_col: str = "id",
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     na_values: Sequence[str] = (),
 ) -> DataFrame:
     """``id, text, label`` from a file; columns are found by name, others ignored.
 
-    A CSV field may hold quotes and newlines. Such files cannot be split, so
-    pass ``multi_line=False`` for CSV without embedded newlines, or use Parquet
-    for large data. ``na_values`` lists texts to read as NULL; by default only
+    A CSV field may hold quotes and newlines. Spark reads such a file in one
+    task; ``multi_line="split"`` reads it in any number of splits
+    (:func:`levelwise.sources.records.read_split_csv`), and ``False`` suits CSV
+    without embedded newlines. ``na_values`` lists texts to read as NULL; by default only
     an empty field is. A file without ``id_col`` gets generated ids. Those
     would change with the file splits from one scan to the next, so such a table
     is staged once, as Parquet, and read from there.
     """
     fmt = fmt or _format_of(path)
     try:
-        if fmt == "csv":
+        if fmt == "csv" and multi_line == "split":
+            raw = read_split_csv(spark, path)
+        elif fmt == "csv":
             raw = (
                 spark.read.option("header", True)
                 .option("multiLine", multi_line)

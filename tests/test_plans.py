@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from levelwise.catalog import aggregates, checks, models, rows  # noqa: F401  (they register the queries)
+from levelwise.catalog import aggregates, checks, models, rows, streams  # noqa: F401  (they register the queries)
 from levelwise.catalog.registry import ORACLES, QUERIES
 
 NARROW = ("encode_corpus", "encode_pieces", "embed_text_fixed", "score_encoded", "score_requests", "clean_text", "text_preview", "request_status", "label_to_id", "softmax", "score_linear")
