@@ -13,6 +13,8 @@ from levelwise.functions.text import text_preview
 
 # Fixed value: how many sample errors a report lists.
 MAX_SAMPLES = 10
+# Rows of a bucket of a table that is aligned often.
+BUCKET_ROWS = 2_000_000
 
 
 def align_predictions(truth: DataFrame, predictions: DataFrame, id_col: str = "id") -> DataFrame:
@@ -32,6 +34,21 @@ def align_predictions(truth: DataFrame, predictions: DataFrame, id_col: str = "i
     )
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, id_col: str = "id") -> DataFrame:
+    """A table of Parquet files below ``path``, dealt into ``buckets`` by id and sorted in each; registered as ``name``.
+
+    Tables of equal bucket numbers are aligned without moving a row again, however often.
+    """
+    dealt = df.repartition(buckets, F.col(id_col))
+    dealt.write.bucketBy(buckets, id_col).sortBy(id_col).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def bucket_count(rows: int, per_bucket: int = BUCKET_ROWS) -> int:
+    """Buckets for a table of so many rows."""
+    return max(1, -(-rows // per_bucket))
+
+
 def misclassified(df: DataFrame) -> DataFrame:
     return df.where(~correct_flag("p", "y"))
 

@@ -36,7 +36,9 @@ SETTINGS_SCHEMA = (
     "version string, levels array<string>, num_features int, alpha double, use_class_weights boolean, "
     "aggregation_depth int, features string, dim int, candidates string, best int, history array<array<double>>, spark_version string, saved long"
 )
-VECTOR_PARTITIONS, VECTOR_BUCKETS, VECTOR_SEED = 8, 64, 42
+VECTOR_BUCKETS, VECTOR_SEED = 64, 42
+# Words of a part of the corpus on which word vectors are trained; vectors of the parts are averaged.
+PART_WORDS = 500_000
 
 
 class NoUsefulCandidate(RuntimeError):
@@ -158,16 +160,21 @@ def fit_features(train: DataFrame, settings: FitSettings) -> Transformer:
     """The step from ``counts`` to ``features``; the mean of a text's vectors is taken inside its row."""
     if settings.features == "counts":
         return IDF(inputCol="counts", outputCol="features").fit(train)
-    # A fixed number of parts in a fixed order. Buckets of equal counts may still change places from fit to fit,
-    # which moves their vectors a little.
-    order = F.xxhash64("counts")
-    dealt = train.select("counts").repartition(VECTOR_PARTITIONS, order).sortWithinPartitions(order)
+    # Parts follow the data, not the cluster, in a fixed order. Buckets of equal counts may still change places from
+    # fit to fit, which moves their vectors a little.
+    order, partitions = F.xxhash64("counts"), vector_parts(train.select("counts"), "counts")
+    dealt = train.select("counts").repartition(partitions, order).sortWithinPartitions(order)
     return Word2Vec(
-        vectorSize=settings.dim, minCount=1, seed=VECTOR_SEED, numPartitions=VECTOR_PARTITIONS, maxIter=1,
+        vectorSize=settings.dim, minCount=1, seed=VECTOR_SEED, numPartitions=partitions, maxIter=1,
         inputCol="counts", outputCol="features",
     ).fit(dealt)
 
 
+def vector_parts(rows: DataFrame, words_col: str) -> int:
+    """Parts to train word vectors on, one per :data:`PART_WORDS` words."""
+    return max(1, -(-(rows.agg(F.sum(F.size(words_col))).first()[0] or 0) // PART_WORDS))
+
+
 def word_counts(parts: DataFrame, settings: FitSettings, keep: tuple[str | Column, ...] = ()) -> DataFrame:
     """``part, label_id, weight, counts``: the one pass over the text, whole texts, no shuffle.
 
@@ -317,15 +324,15 @@ def fit_or_load(spark: SparkSession, path: str, fit: Callable[[], FittedClassifi
 
 
 def learn_token_vectors(
-    df: DataFrame, vocabulary_size: int, dim: int, text: str = "text", seed: int = VECTOR_SEED, partitions: int = VECTOR_PARTITIONS,
+    df: DataFrame, vocabulary_size: int, dim: int, text: str = "text", seed: int = VECTOR_SEED, partitions: int | None = None,
     buckets: int = VECTOR_BUCKETS,
 ) -> DataFrame:
     """``(token, vector)`` learned from the corpus for its most frequent words and for buckets of all other words.
 
     Exactly the first ``vocabulary_size`` words of :func:`learn_vocabulary` have
     a vector of their own; every other word is read as its bucket, so no word is
-    lost. Vectors are averaged over ``partitions`` parts of the corpus, a fixed
-    number that does not depend on the cluster. Words of equal counts may change
+    lost. Vectors are averaged over ``partitions`` parts of the corpus, by default
+    one per :data:`PART_WORDS` words, whatever the cluster. Words of equal counts may change
     places from fit to fit, which moves their vectors a little.
     """
     if not 0 < vocabulary_size <= MAX_VOCABULARY:
@@ -334,6 +341,7 @@ def learn_token_vectors(
     named = F.transform(words(text), lambda w: F.when(token_id(w) == UNKNOWN, bucket(w, buckets)).otherwise(w))
     # Rows go to the parts by a hash of their words, in a fixed order within each.
     sentences = df.select(named.alias("words")).where(F.size("words") > 0)
+    partitions = partitions or vector_parts(df.select(words(text).alias("w")), "w")
     dealt = sentences.repartition(partitions, F.xxhash64("words")).sortWithinPartitions(F.xxhash64("words"))
     learned = Word2Vec(
         vectorSize=dim, minCount=1, seed=seed, numPartitions=partitions, maxIter=1, inputCol="words", outputCol="v"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS
-from levelwise.functions.measures import BANDS, confidence_band, pct_of_total, ratio
+from levelwise.functions.measures import fixed_decimals, BANDS, confidence_band, pct_of_total, ratio
 from levelwise.operators import metrics
 from levelwise.operators.errors import MAX_SAMPLES, top_errors
 
@@ -74,6 +74,12 @@ def report_rows(report: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def formatted_report(report: DataFrame, digits: int = 4) -> DataFrame:
+    """The class report for display: names and fixed decimals in report order, an empty text where there is no number."""
+    shown = [F.when(F.col(c).isNull(), "").otherwise(fixed_decimals(F.col(c), digits)).alias(c) for c in ("precision", "recall", "f1")]
+    return report.orderBy("position").select("position", "name", *shown, F.col("support").cast("string").alias("support"))
+
+
 def _long(df: DataFrame, section: str, item: Column, measures: Sequence[str]) -> DataFrame:
     pairs = F.explode(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures

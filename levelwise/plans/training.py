@@ -16,6 +16,7 @@ from levelwise.operators.weights import counts_with_pct
 from levelwise.plans.fit import FitSettings, FittedClassifier, fit_counted, score_counted, word_counts
 from levelwise.plans.report import evaluation_report
 from levelwise.sources.exchange import prediction_records
+from levelwise.sources.labelled import prepare_labelled, read_labelled
 from levelwise.sources.staging import stage, staged
 
 # Sample sentences, scored after a training run.
@@ -78,8 +79,12 @@ def train_and_evaluate(
     from them, and they are removed at the end. The scored test rows stay staged
     with a preview of their text; the report and the returned table read that.
     """
-    spark = labelled.sparkSession
-    parts = split_labelled(labelled, seed, settings, allow_rare)
+    return _run(split_labelled(labelled, seed, settings, allow_rare), settings)
+
+
+def _run(parts: DataFrame, settings: FitSettings) -> TrainingRun:
+    """Fit on the parts ``train`` and ``val``, report on ``test``."""
+    spark = parts.sparkSession
     with staged(word_counts(parts, settings, ("id", text_preview("text").alias("preview"))), "counts") as counted:
         fitted = fit_counted(counted, settings)
         scored = score_counted(fitted, counted.where(F.col("part") == "test")).select(
@@ -94,3 +99,19 @@ def train_and_evaluate(
         report=evaluation_report(scored, settings.levels, text="preview"),
         demo=demo_predictions(spark, fitted),
     )
+
+
+def train_on_files(
+    spark: SparkSession, train_path: str, test_path: str, settings: FitSettings = FitSettings(), seed: int = SEED,
+    fmt: str | None = None, allow_rare: bool = False,
+) -> TrainingRun:
+    """Fit on one labelled file and report on another that was set apart before.
+
+    Candidates are chosen on rows cut from the training file; its share that
+    would be a test set trains as well. The text of both files is read once.
+    """
+    train, test = (prepare_labelled(read_labelled(spark, path, fmt), settings.levels) for path in (train_path, test_path))
+    cut = split_labelled(train, seed, settings, allow_rare)
+    inside = cut.withColumn("split", F.when(F.col("split") == "val", "val").otherwise("train"))
+    parts = inside.unionByName(test.select("id", "text", "label_id").withColumn("split", F.lit("test")), allowMissingColumns=True)
+    return _run(parts, settings)
