@@ -199,6 +199,14 @@ class Scorer:
         known = self.unit_scores(set().union(*map(set, sets)) if sets else ())
         return [max(found, key=known.__getitem__, default=b"") for found in sets]
 
+    def worst_window(self, unit: bytes) -> bytes:
+        """The unit, or the most suspicious of its windows if it is long."""
+        windows = cut_windows(unit)
+        if len(windows) == 1:
+            return unit
+        known = self.unit_scores(set(windows))
+        return max(windows, key=known.__getitem__)
+
 
 def beginnings(rows: DataFrame) -> DataFrame:
     """``doc, label, unit, beginning``: units of each document, and their beginnings of 4 to 7 bytes, once per document."""
@@ -206,7 +214,7 @@ def beginnings(rows: DataFrame) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, label in zip(batch.column("doc").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("label").to_pylist()):
-                whole = {u.strip(MARKS)[:WINDOW] for u in units(text.as_py() or b"")} - {b""}
+                whole = {w for u in units(text.as_py() or b"") for w in cut_windows(u.strip(MARKS))} - {b""}
                 starts = {u[:n] for u in whole for n in range(4, 8) if len(u) > n}
                 both = [(u, False) for u in whole] + [(u, True) for u in starts]
                 columns = ([doc] * len(both), [label] * len(both), [u for u, _ in both], [b for _, b in both])
@@ -277,8 +285,8 @@ def suspects_of(sentences: DataFrame, kernel: Kernel) -> DataFrame:
         for batch in batches:
             column = batch.column("sentence")
             parts = (column.slice(at, 10 * PORTION).to_pylist() for at in range(0, len(column), 10 * PORTION))
-            found = [unit for part in parts for unit in scorer.suspects(part)]
-            yield pa.record_batch([pa.array([u[:WINDOW] for u in found], pa.binary()), batch.column("label")], names=["unit", "label"])
+            found = [scorer.worst_window(unit) for part in parts for unit in scorer.suspects(part)]
+            yield pa.record_batch([pa.array(found, pa.binary()), batch.column("label")], names=["unit", "label"])
 
     picked = sentences.mapInArrow(pick, "unit binary, label double")
     return picked.groupBy("unit", "label").agg(F.count("*").cast("double").alias("times"))
