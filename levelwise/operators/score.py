@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelwise.functions.labels import LEVELS, id_to_label
-from levelwise.functions.scoring import argmax_label, confidence, linear_head, softmax
+from levelwise.functions.scoring import argmax_label, balanced_sum, confidence, linear_head
 
 
 def score_linear(
@@ -21,12 +21,14 @@ def score_linear(
     levels: Sequence[str] = LEVELS,
 ) -> DataFrame:
     """Add ``pred_id, cefr, confidence`` from a fixed head over a vector column."""
-    logits = df.withColumn("_logits", linear_head(features, weights, bias))
+    logits = df.withColumn("_logits", linear_head(features, weights, bias)).withColumn("_peak", F.array_max("_logits"))
+    # The largest of the softmax shares: its exponential is one.
+    total = balanced_sum([F.exp(F.get("_logits", k) - F.col("_peak")) for k in range(len(weights))])
     return (
-        logits.withColumn("pred_id", argmax_label("_logits"))
+        logits.withColumn("pred_id", (F.array_position("_logits", F.col("_peak")) - 1).cast("int"))
         .withColumn("cefr", id_to_label("pred_id", levels))
-        .withColumn("confidence", confidence(softmax("_logits", len(weights))))
-        .drop("_logits")
+        .withColumn("confidence", F.lit(1.0) / total)
+        .drop("_logits", "_peak")
     )
 
 
