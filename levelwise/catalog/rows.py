@@ -16,6 +16,7 @@ from levelwise.functions.measures import signed_diff as signed
 from levelwise.functions.text import clean_text as strip, text_preview as preview, words as words_of
 from levelwise.operators import errors, requests as rq, weights as wt
 from levelwise.operators.encode import encode_corpus as encode, learn_vocabulary as learn, real_tokens
+from levelwise.operators.heavy_words import heavy_words
 from levelwise.operators.pieces import encode_pieces as pieces_of
 from levelwise.sources.exchange import read_requests, request_payloads, write_predictions
 from levelwise.sources.labelled import prepare_labelled, read_labelled as read
@@ -137,6 +138,12 @@ def learn_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn(fx.level_docs(spark, sf_dir), 1000)
 
 
+@query("WITH " + VOCABULARY_SQL.format(size=1000) + " SELECT token, token_id, n FROM vocabulary")
+def heavy_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words from mergeable summaries and an exact count of their candidates."""
+    return heavy_words(fx.level_docs(spark, sf_dir), 1000)
+
+
 @query(ENCODE_SQL.format(size=200, room=14, length=16))
 def encode_corpus_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encoded(spark, sf_dir, 200, 16)

@@ -31,18 +31,29 @@ def learn_vocabulary(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     """
     if size < 1:
         raise ValueError(f"vocabulary size must be positive, got {size}")
-    counts = stage(
-        df.select(F.explode(words(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "word-counts"
-    )
+    return ranked_words(stage(word_counts(df, text), "word-counts"), size)
+
+
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``token, n`` of every word."""
+    return df.select(F.explode(words(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def least_winner(counts: DataFrame, size: int) -> int:
+    """Count of the last of the ``size`` most frequent words; 0 if there are none."""
     # One row per distinct count: about the square root of the corpus at most.
     by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("tied"))
     above = F.sum("tied").over(Window.orderBy(F.desc("n"))) - F.col("tied")
-    cut = by_count.withColumn("above", above).where(F.col("above") < size).agg(F.min("n")).first()[0]
-    reached = counts.where(F.col("n") >= (cut or 0)).orderBy(F.desc("n"), "token")
+    return by_count.withColumn("above", above).where(F.col("above") < size).agg(F.min("n")).first()[0] or 0
+
+
+def ranked_words(counts: DataFrame, size: int) -> DataFrame:
+    """``(token, token_id, n)`` of the most frequent words of a staged table of counts."""
+    reached = counts.where(F.col("n") >= least_winner(counts, size)).orderBy(F.desc("n"), "token")
     ranges = stage(reached.withColumn("range", F.spark_partition_id()), "ranked-words")
     sizes = {r["range"]: r["count"] for r in ranges.groupBy("range").count().collect()}
     starts = [(r, sum(n for other, n in sizes.items() if other < r)) for r in sizes]
-    before = df.sparkSession.createDataFrame(starts, "range int, before long").coalesce(1)
+    before = counts.sparkSession.createDataFrame(starts, "range int, before long").coalesce(1)
     rank = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("n"), "token")) + F.col("before")
     numbered = ranges.join(F.broadcast(before), "range").withColumn("rank", rank).where(F.col("rank") <= size)
     return numbered.select("token", (F.col("rank") + (SPECIAL_IDS - 1)).cast("int").alias("token_id"), "n")
