@@ -16,7 +16,8 @@ there are. So the corpus is reduced to a histogram of lengths (a counted aggrega
 The plan has at most one entry per filling and length, so its size is bounded by the capacity too. Pieces of one
 length are interchangeable: each gets an exact rank among its length, from counts per (length, bucket) and a rank
 inside its bucket, so that a length that a third of all pieces share is never ordered in one task. A lookup of
-(length, rank) in the plan gives sequence and offset; text and ids do not move again.
+(length, rank) in the plan gives sequence and offset; text and ids do not move again. Buckets grow with the pieces of
+the commonest length, and equal rows are dealt by the task that read them.
 
 Defined results: null text is empty text, which is one piece holding only the end id; identical rows each get their
 own place; null ids stay null; an empty table gives an empty result; other columns are ignored.
@@ -39,7 +40,9 @@ from levelwise.llm.common import read, stage
 
 CAPACITY = 4096
 END_ID = 1
+# Buckets of the pieces of one length, and pieces of a length per bucket beyond them.
 BUCKETS = 256
+BUCKET_PIECES = 100_000
 # Branches visited per filling; a bound on work, not on documents.
 NODES = 20_000
 # Of the search over bins: fillings per step, branches in all, and branches per step for its fillings.
@@ -158,7 +161,7 @@ def best_filling(lengths: list[int], left: dict[int, int], room: int) -> list[tu
     best, waste, nodes = taken, rest, 0
     stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room, ())]
     # What the lengths from a place on can fill at most.
-    fill = [0] * (len(lengths) + 1)
+    fill, minus = [0] * (len(lengths) + 1), [-x for x in lengths]
     for i in range(len(lengths) - 1, -1, -1):
         fill[i] = min(fill[i + 1] + lengths[i] * left[lengths[i]], room + 1)
     while stack and waste and nodes < NODES:
@@ -170,8 +173,7 @@ def best_filling(lengths: list[int], left: dict[int, int], room: int) -> list[tu
                 break
         if rest - fill[at] >= waste:
             continue
-        while at < len(lengths) and lengths[at] > rest:
-            at += 1
+        at = max(at, bisect_left(minus, -rest))
         if at == len(lengths) or rest - fill[at] >= waste:
             continue
         length = lengths[at]
@@ -235,7 +237,7 @@ def least_sequences(histogram: dict[int, int], capacity: int) -> int:
 def undominated_fillings(lengths: list[int], left: dict[int, int], room: int, most_waste: int, budget: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], int]:
     """Up to ``WIDTH`` fillings (waste, (length, count) pairs) that leave at most ``most_waste``, and branches visited."""
     found: list[tuple[int, list[tuple[int, int]]]] = []
-    fill = [0] * (len(lengths) + 1)
+    fill, minus = [0] * (len(lengths) + 1), [-x for x in lengths]
     for i in range(len(lengths) - 1, -1, -1):
         fill[i] = min(fill[i + 1] + lengths[i] * left[lengths[i]], room + 1)
     stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room, ())]
@@ -243,11 +245,11 @@ def undominated_fillings(lengths: list[int], left: dict[int, int], room: int, mo
     while stack and nodes < budget:
         at, rest, chosen = stack.pop()
         nodes += 1
-        at = max(at, bisect_left(lengths, -rest, key=lambda x: -x))
+        at = max(at, bisect_left(minus, -rest))
         if rest - fill[at] > most_waste:
             continue
         if at == len(lengths):
-            if not dominated(lengths, left, rest, chosen):
+            if not dominated(minus, left, rest, chosen):
                 found.append((rest, list(chosen)))
                 if sum(w == 0 for w, _ in found) >= WIDTH:
                     break
@@ -260,8 +262,11 @@ def undominated_fillings(lengths: list[int], left: dict[int, int], room: int, mo
     return found[:WIDTH], nodes
 
 
-def dominated(lengths: list[int], left: dict[int, int], rest: int, chosen: tuple[tuple[int, int], ...]) -> bool:
-    """Whether one piece that is not in the filling could take the place of some pieces of it, or of the rest."""
+def dominated(minus: list[int], left: dict[int, int], rest: int, chosen: tuple[tuple[int, int], ...]) -> bool:
+    """Whether one piece that is not in the filling could take the place of some pieces of it, or of the rest.
+
+    ``minus`` holds the lengths left over, negated, in ascending order.
+    """
     used = dict(chosen)
     sums = {0: 0}  # sum of chosen pieces -> most pieces with it
     for length, n in chosen:
@@ -269,7 +274,8 @@ def dominated(lengths: list[int], left: dict[int, int], rest: int, chosen: tuple
             sums |= {s + length: max(k + 1, sums.get(s + length, 0)) for s, k in list(sums.items())[:64]}
     for s, k in sums.items():
         # The largest length that fits in place of these pieces and is left over.
-        for length in lengths[bisect_left(lengths, -(s + rest), key=lambda x: -x) :]:
+        for at in range(bisect_left(minus, -(s + rest)), len(minus)):
+            length = -minus[at]
             if length < s or length == s and k < 2:
                 break
             if left[length] > used.get(length, 0):
@@ -295,13 +301,18 @@ def search(histogram: dict[int, int], capacity: int, best: Bins, least: int, off
     """Packings that leave the first choice in at most ``off`` steps; ``True`` if no branch was left for want of steps."""
     fewest, whole = sum(times for times, _ in best), True
     chain: list[tuple[int, list[tuple[int, int]]]] = []
-    # A state is entered with (depth, bin that led to it, sequences, pieces left, steps off the first choice left).
+    # A state is entered with (depth, bin that led to it, sequences, pieces left before it, steps off the first choice left).
     stack: list[tuple] = [(0, None, 0, {x: n for x, n in histogram.items() if n > 0}, off)]
     while stack and branches > 0 and fewest > least:
         depth, led, count, left, may = stack.pop()
         del chain[max(depth - 1, 0) :]
         if led:
             chain.append(led)
+            left = dict(left)
+            for x, n in led[1]:
+                left[x] -= led[0] * n
+                if not left[x]:
+                    del left[x]
         if not left:
             if count < fewest:
                 best, fewest = list(chain), count
@@ -329,8 +340,7 @@ def search(histogram: dict[int, int], capacity: int, best: Bins, least: int, off
             if i and not may:
                 whole = False
                 continue
-            rest = {x: n - taken.get(x, 0) * times for x, n in left.items()}
-            stack.append((depth + 1, (times, sorted(taken.items(), reverse=True)), count + times, {x: n for x, n in rest.items() if n}, may - (i > 0)))
+            stack.append((depth + 1, (times, sorted(taken.items(), reverse=True)), count + times, left, may - (i > 0)))
     return best, branches, whole and not stack
 
 
@@ -349,8 +359,11 @@ def plan_rows(bins: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
 
 
 def ranked(pieces: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``pieces`` with ``rank``, exact and gapless from 0 among pieces of equal length."""
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    """``pieces`` with ``rank``, exact and gapless from 0 among pieces of equal length.
+
+    ``task``, the number of the task that wrote a piece, deals equal rows into different buckets.
+    """
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "task"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select(
         "length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
@@ -378,12 +391,13 @@ def place(pieces: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> Data
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece with its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    pieces = stage(cut_documents(docs, tokenizer_path, capacity), "pieces")
+    pieces = stage(cut_documents(docs, tokenizer_path, capacity).withColumn("task", F.spark_partition_id()), "pieces")
     # At most ``capacity`` rows.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_rows(complete_bins(histogram, capacity))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
-    return place(ranked(pieces).select(columns), plan)
+    buckets = max(BUCKETS, -(-max(histogram.values(), default=0) // BUCKET_PIECES))
+    return place(ranked(pieces, buckets).select(columns), plan)
 
 
 def tokenizer_file() -> str:

@@ -98,6 +98,18 @@ def test_one_length_for_all_rows(docs):
     assert packing.pack(docs(), PATH).count() == 0
 
 
+def test_equal_rows_are_dealt_into_buckets(docs, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKETS", 1)
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 20)
+    seen = []
+    plain = packing.ranked
+    monkeypatch.setattr(packing, "ranked", lambda pieces, buckets: seen.append((buckets, pieces)) or plain(pieces, buckets))
+    found = packing.pack(docs(*[(None, "same")] * 300, *[(7, "")] * 90).repartition(6), PATH, 16).collect()
+    buckets, pieces = seen[0]
+    assert buckets == 15 and pieces.select("doc_id", "task").distinct().count() > 6
+    assert len({(r.sequence_id, r.offset) for r in found}) == 390 == len(found)
+
+
 PAGES = "page_id long, url string, html string, digest string, bundle string"
 
 
