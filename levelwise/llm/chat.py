@@ -11,7 +11,8 @@ The hash of a prefix is the XOR of 128-bit hashes of (position, role, text), so
 levels: blocks of ``BLOCK`` positions and rows inside a block. Full hashes are a plain aggregate; snapshots are found
 by an anti join of (length, full hash) with the prefix hashes of longer conversations, reduced to their distinct values
 first. Text joins only the starts of its own range; ids, positions and hashes do the rest. A rendered segment holds the
-turns of one block, and its number is that of the block, so no conversation has to fit into one row or task.
+turns of one block, and its number is that of the block, so no conversation has to fit into one row or task. A block of
+more than ``SEGMENT_BYTES`` becomes several rows of that number, read in order of ``first_turn``.
 
 Defined results: null role is rendered as ``unknown`` and null text as empty, but neither equals the other when
 compared; a null conversation id is one conversation with the smallest id; a null turn number comes first; repeated
@@ -27,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from levelwise.llm.common import read, stage
+from levelwise.llm.common import read, small_side, stage
 
 BLOCK = 256
+# Rendered bytes of a block beyond which it becomes several rows.
+SEGMENT_BYTES = 2**26
 NO_ID = -(2**63)
 
 
-RUNS = "conv long, part int, at long, n long, role string, text string"
+RUNS = "conv long, part int, at long, n long, role string, text string, bytes long"
 
 
 def runs(turns: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def runs(turns: DataFrame) -> DataFrame:
             head = np.searchsorted(own, own, "left")  # first row of the same conversation
             at = ends - n - (ends - n)[head] + np.where(own == conv, before, 0)
             conv, before = own[-1], at[-1] + n[-1]
-            yield pa.record_batch([batch.column("conv"), batch.column("part"), pa.array(at), *(batch.column(c) for c in ("n", "role", "text"))], names=["conv", "part", "at", "n", "role", "text"])
+            yield pa.record_batch([batch.column("conv"), batch.column("part"), pa.array(at), *(batch.column(c) for c in ("n", "role", "text", "bytes"))], names=["conv", "part", "at", "n", "role", "text", "bytes"])
 
     order = ["conv", F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
     keyed = turns.select(F.coalesce("conv_id", F.lit(NO_ID)).cast("long").alias("conv"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
@@ -57,7 +60,8 @@ def runs(turns: DataFrame) -> DataFrame:
     # A range of its own number, since the default lets Spark join ranges.
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = counted.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return stage(ranged.select("conv", F.spark_partition_id().alias("part"), "n", "role", "text").mapInArrow(number, RUNS), "runs")
+    size = F.octet_length(rendered_turn()).cast("long").alias("bytes")
+    return stage(ranged.select("conv", F.spark_partition_id().alias("part"), "n", "role", "text", size).mapInArrow(number, RUNS), "runs")
 
 
 def starts(numbered: DataFrame) -> DataFrame:
@@ -113,21 +117,43 @@ def rendered_turn() -> Column:
 
 
 def render(placed: DataFrame) -> DataFrame:
-    """``conv, segment, first_turn, n_turns, rendered``; segments of a conversation are read in order."""
+    """``conv, segment, first_turn, n_turns, rendered`` of turns ``conv, block, cut, pos, n, role, text``."""
     parts = F.array_sort(F.collect_list(F.struct("pos", "n", rendered_turn().alias("part"))))
-    segments = placed.groupBy("conv", "block").agg(F.sum("n").alias("n_turns"), parts.alias("parts"))
+    segments = placed.groupBy("conv", "block", "cut").agg(F.sum("n").alias("n_turns"), parts.alias("parts"))
     return segments.select(
         "conv", F.col("block").alias("segment"), F.col("parts")[0]["pos"].alias("first_turn"), "n_turns",
         F.array_join(F.transform("parts", lambda p: F.repeat(p["part"], p["n"].cast("int"))), "").alias("rendered"),
     )
 
 
-def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def cut_by_bytes(placed: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """``placed`` with ``cut``: 0, or the place among the parts of a block of more than ``most`` bytes.
+
+    ``sizes`` (``conv, block, pos, n, bytes``) has the same turns without their text. A part ends with the turn that
+    brings it to ``most`` bytes, so it holds fewer than that and one turn.
+    """
+    total = sizes.groupBy("conv", "block").agg(F.sum(F.col("n") * F.col("bytes")).alias("total"))
+    long = stage(total.filter(F.col("total") > most).select("conv", "block"), "long-blocks")
+    n_long = long.count()
+    if not n_long:
+        return placed.withColumn("cut", F.lit(0).cast("long"))
+    long = small_side(long, n_long)
+    each = F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")
+    turns = sizes.join(long, ["conv", "block"], "left_semi").select("conv", "block", "bytes", each)
+    earlier = Window.partitionBy("conv", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = turns.select("conv", "block", "pos", F.floor(F.coalesce(F.sum("bytes").over(earlier), F.lit(0)) / most).alias("cut"))
+    split = placed.join(long, ["conv", "block"], "left_semi").select("conv", "block", each, F.lit(1).cast("long").alias("n"), "role", "text")
+    whole = placed.join(long, ["conv", "block"], "left_anti").withColumn("cut", F.lit(0).cast("long"))
+    return whole.unionByName(split.join(cuts, ["conv", "block", "pos"]))
+
+
+def format_chats(turns: DataFrame, block: int = BLOCK, most: int = SEGMENT_BYTES) -> DataFrame:
     """``conv_id, segment, first_turn, n_turns, rendered`` of the maximal conversations."""
     numbered = runs(turns)
     begun = stage(starts(numbered), "starts")
-    kept = begun.join(maximal_conversations(numbered, begun, block), "conv", "left_semi")
-    chosen = render(in_blocks(numbered, kept, block, "role", "text"))
+    kept = stage(begun.join(maximal_conversations(numbered, begun, block), "conv", "left_semi"), "kept")
+    sizes = in_blocks(numbered, kept, block, "bytes")
+    chosen = render(cut_by_bytes(in_blocks(numbered, kept, block, "role", "text"), sizes, most))
     return chosen.select(F.nullif(F.col("conv"), F.lit(NO_ID)).alias("conv_id"), "segment", "first_turn", "n_turns", "rendered")
 
 

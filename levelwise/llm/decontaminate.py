@@ -10,8 +10,9 @@ DataFrame functions only. A window is ``width`` consecutive words of an item (al
 3. Phrase matches compare the remaining terms at their offsets; proximity matches ask for all terms within a span.
 
 The pass over the tokens is one generated stage: words are never materialised per token and text is not shuffled.
-The benchmark side is broadcast while its counted rows stay within a bound. Beyond it its windows are sought in
-blocks within that bound, one pass over the tokens each, so that text is never shuffled by token.
+The benchmark side is broadcast while its counted rows stay within a bound. Beyond it a bitmap of the hashes of the
+rarest terms, of bounded size, travels instead: one pass stages the tokens it lets through with the words around them,
+and these few meet the windows in a sorted join. So any benchmark takes two passes over the corpus.
 
 Defined results: null text, or text without words, has no words and no hits; an item without words is ignored;
 items with equal text are both reported; a null id is a document of its own; identical rows of one id give one row;
@@ -20,8 +21,8 @@ rows of one id with different texts give one row each; an empty benchmark contam
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ WIDTH = 10
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # A word that no text holds: ends each document's token list and carries its length.
 END = ""
+END_ROW = (("window_id", "long", None), ("width", "int", 0), ("at", "int", 0), ("h2", "long", None), ("at2", "int", 0))
+# Longs of the bitmap of a large benchmark's rarest terms: 16 million bits, 2 MB.
+BITMAP_LONGS = 2**18
 
 
 def words_of(text: str = "text") -> Column:
@@ -73,15 +77,22 @@ def lookups(wins: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def in_blocks(wanted: DataFrame, n_wanted: int, limit: int) -> list[DataFrame]:
-    """``wanted`` whole, or in parts by window id of half of ``limit`` rows on average, which keeps each within it."""
-    if n_wanted <= limit:
-        return [wanted]
-    n = math.ceil(2 * n_wanted / limit)
-    return [wanted.filter(F.pmod("window_id", F.lit(n)) == i) for i in range(n)]
+def bitmap(hashes: DataFrame, n: int, longs: int = BITMAP_LONGS) -> Callable[[Column], Column]:
+    """A test that all ``h`` of ``hashes`` pass, and others by chance: one bit each among 16 a hash, ``longs`` * 64 at most."""
+    size = min(max(n // 4, 1), longs)
+    slot = lambda h: F.pmod(h, F.lit(size)).cast("int")
+    bit = lambda h: F.shiftrightunsigned(h, 58).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))
+    bits = [0] * size
+    for row in hashes.groupBy(slot(F.col("h")).alias("slot")).agg(F.bit_or(one).alias("bits")).collect():
+        bits[row["slot"]] = row["bits"]
+    constant = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+    return lambda h: F.getbit(F.get(constant, slot(h)), bit(h)) == 1
 
 
-def postings(docs: DataFrame, wanted: DataFrame, n_wanted: int, reach: int = 0, limit: int = BROADCAST_ROWS) -> DataFrame:
+def postings(
+    docs: DataFrame, wanted: DataFrame, n_wanted: int, reach: int = 0, limit: int = BROADCAST_ROWS, width: int = WIDTH
+) -> DataFrame:
     """``_did, _tid, window_id, start, around`` where rarest and second rarest term stand at their distance.
 
     ``reach`` > 0 stores every posting of the rarest term with that many words on either side instead.
@@ -90,21 +101,28 @@ def postings(docs: DataFrame, wanted: DataFrame, n_wanted: int, reach: int = 0,
     tokens = docs.select(
         doc_key().alias("_did"), text_key().alias("_tid"), F.array_append(words_of(), END).alias("words")
     ).select("_did", "_tid", "words", F.posexplode("words").alias("pos", "w"))
-    end = wanted.sparkSession.range(1).select(
-        F.lit(None).cast("long").alias("window_id"), F.lit(0).alias("width"), F.xxhash64(F.lit(END)).alias("h"),
-        F.lit(0).alias("at"), F.lit(None).cast("long").alias("h2"), F.lit(0).alias("at2"),
-    )
-    first, *others = in_blocks(wanted.drop("terms"), n_wanted, limit)
-    hashed = tokens.withColumn("h", F.xxhash64("w"))
-    found = reduce(DataFrame.union, [hashed.join(F.broadcast(sought), "h") for sought in (first.unionByName(end), *others)])
+    hashed, sought = tokens.withColumn("h", F.xxhash64("w")), wanted.drop("terms")
+    near = F.greatest(F.col("pos") - (reach or width - 1), F.lit(0))
+    if n_wanted <= limit:
+        end = wanted.sparkSession.range(1).select(F.xxhash64(F.lit(END)).alias("h"), *(F.lit(v).cast(t).alias(c) for c, t, v in END_ROW))
+        found, low, size = hashed.join(F.broadcast(sought.unionByName(end)), "h"), F.lit(0), F.size("words")
+    else:
+        passes, is_end = bitmap(sought.select("h").distinct(), n_wanted), F.col("w") == END
+        beside = F.slice("words", near + 1, F.col("pos") - near + (reach or width - 1) + 1)
+        let_through = stage(hashed.filter(is_end | passes(F.col("h"))).select(
+            "_did", "_tid", "h", "pos", F.size("words").alias("size"), is_end.alias("is_end"), F.when(~is_end, beside).alias("words")
+        ), "tokens")
+        ends = let_through.filter("is_end").select("*", *(F.lit(v).cast(t).alias(c) for c, t, v in END_ROW))
+        found = let_through.filter("NOT is_end").join(sought.hint("merge"), "h").unionByName(ends)
+        low, size = near, F.col("size")
+    # ``words`` begins at position ``low`` of a text of ``size`` words, the end among them.
     start, is_end = F.col("pos") - F.col("at"), F.col("window_id").isNull()
     if reach:
-        low = F.greatest(F.col("pos") - reach, F.lit(0))
-        kept, around = F.lit(True), F.slice("words", low + 1, F.col("pos") - low + reach + 1)
+        kept, around = F.lit(True), F.slice("words", near - low + 1, F.col("pos") - near + reach + 1)
     else:
-        inside = (start >= 0) & (start + F.col("width") < F.size("words"))
-        kept = inside & (F.xxhash64(F.try_element_at("words", start + F.col("at2") + 1)) == F.col("h2"))
-        around = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("width"))
+        inside = (start >= 0) & (start + F.col("width") < size)
+        kept = inside & (F.xxhash64(F.try_element_at("words", start - low + F.col("at2") + 1)) == F.col("h2"))
+        around = F.slice("words", F.greatest(start - low, F.lit(0)) + 1, F.col("width"))
     return found.filter(is_end | kept).select(
         "_did", "_tid", "window_id", F.when(is_end, F.col("pos")).otherwise(start).alias("start"),
         F.when(~is_end, around).alias("around"),
@@ -121,7 +139,7 @@ class PositionalIndex:
         self.lookups = stage(lookups(self.windows, counts), "lookups")
         self.n_lookups = self.lookups.count()
         self.reach, self.limit = reach, limit
-        self.postings = stage(postings(docs, self.lookups, self.n_lookups, reach, limit), "postings")
+        self.postings = stage(postings(docs, self.lookups, self.n_lookups, reach, limit, width), "postings")
 
     def lengths(self) -> DataFrame:
         """``_did, _tid, n_words`` of every document."""

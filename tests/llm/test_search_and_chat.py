@@ -30,6 +30,36 @@ def test_phrases_match_brute_force(spark, docs, limit):
     assert {r._did: (r.n_words, r.n_hit, list(r.item_ids)) for r in found} == {i: brute.hits(t, items) for i, t in enumerate(texts)}
 
 
+def test_bitmap_lets_all_sought_hashes_pass(spark):
+    from pyspark.sql import functions as F
+
+    sought = spark.range(300).select(F.xxhash64("id").alias("h"))
+    others = spark.range(1000, 4000).select(F.xxhash64("id").alias("h"))
+    for longs in (decontaminate.BITMAP_LONGS, 40, 1):
+        passes = decontaminate.bitmap(sought, 300, longs)
+        assert sought.filter(passes(F.col("h"))).count() == 300
+        if longs > 40:
+            assert others.filter(passes(F.col("h"))).count() < 600
+
+
+def test_large_benchmarks_take_two_passes(spark, docs, monkeypatch):
+    items, texts = passages()
+    staged = []
+    plain = decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name: staged.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))) or plain(df, name))
+    decontaminate.contamination(docs(*enumerate(texts)), spark.createDataFrame(items, "item_id long, text string"), limit=5)
+    assert [name for name, _ in staged].count("tokens") == 1
+    assert dict(staged)["tokens"] == dict(staged)["term-counts"] == 1 and dict(staged)["postings"] == 0
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_proximity_ignores_order_within_reach_of_any_benchmark(spark, docs, limit):
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    texts = docs((1, "gamma x beta y alpha"), (2, "alpha beta"), (3, "alpha b c d e f g beta gamma"), (4, "u " * 30 + "beta gamma alpha" + " v" * 30))
+    index = decontaminate.PositionalIndex(texts, items, reach=4, limit=limit)
+    assert sorted(r._did for r in index.near().collect()) == [1, 4]
+
+
 def test_proximity_ignores_order_within_reach(spark, docs):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     index = decontaminate.PositionalIndex(docs((1, "gamma x beta y alpha"), (2, "alpha beta"), (3, "alpha b c d e f g beta gamma")), items, reach=4)
@@ -129,3 +159,18 @@ def test_segments_follow_positions_whatever_the_turn_numbers(spark):
         assert [(r.segment, r.first_turn) for r in own] == [(i, 64 * i) for i in range(-(-n // 64))]
         expected = [f"<|{role or 'unknown'}|>\n{text}<|end|>\n" for c, _, role, text in rows if c == conv]
         assert "".join(r.rendered for r in own) == "".join(expected)
+
+
+@pytest.mark.parametrize("most", [1, 60, 500])
+def test_long_blocks_are_cut_by_bytes(spark, most):
+    rows = [(1, i, "user", "x" * (i % 50)) for i in range(100)] + [(2, 0, "user", "again")] * 90 + [(3, 0, "user", "short"), (4, 0, "user", "z" * 1000)]
+    found = chat.format_chats(turns_of(spark, rows), 64, most).collect()
+    assert {r.conv_id for r in found} == {1, 2, 3, 4}
+    for conv in (1, 2, 3, 4):
+        own = sorted((r for r in found if r.conv_id == conv), key=lambda r: (r.segment, r.first_turn))
+        texts = sorted(text for c, _, _, text in rows if c == conv) if conv != 1 else [text for c, _, _, text in rows if c == conv]
+        expected = [f"<|user|>\n{text}<|end|>\n" for text in texts]
+        assert "".join(r.rendered for r in own) == "".join(expected)
+        assert [r.first_turn for r in own] == [sum(r.n_turns for r in own[:i]) for i in range(len(own))]
+        assert all(r.segment == r.first_turn // 64 for r in own)
+        assert max(len(r.rendered) for r in own) < most + max(map(len, expected))
