@@ -17,6 +17,10 @@ values, since only long common beginnings matter.
 4. Covered spans are merged per document. Text travels twice, and only that of documents that need it (a broadcast of
    at most 2**20 hash values keeps most others out before the shuffle; what it lets through costs time only).
 
+``repeated_words`` asks the same index for passages of more than ``PASSAGE - 1`` words: each word, lower-cased and without
+what stands between words, becomes a code of ``CODE`` bytes, and a string of ``PASSAGE`` codes is a string of bytes.
+A passage of that many short words may have fewer than ``LENGTH`` bytes; it is reported, not removed.
+
 Defined results: null text is empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are copies of each
 other, so they lose what they share; a null id is kept and written as null; an empty table gives an empty result;
 other columns are ignored.
@@ -25,7 +29,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +42,21 @@ from levelwise.sources.staging import staging_path
 
 LENGTH = 400
 GRAM = 64
-WHOLE = 256
+PASSAGE = 51
+CODE = 4
 BATCHES = 3
 HOT_RUNS = 1000
 BLOCK = 1 << 18
 GATHERED = 4 << 20
 FILTER_VALUES = 1 << 20
+# Everything but letters and digits stands between words; A-Z are lower-cased.
+WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or bytes([c]).isalnum() else 32 for c in range(256))
 # Odd 64-bit multipliers for mixing.
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 RUNS = "_did long, _tid long, gram long, content long, start long, n int, repeats boolean"
 PARTS = "_did long, _tid long, gram long, window long, start long, n int, alone boolean, bytes binary"
+Coding = Callable[[bytes], bytes]
 SPANS = "_did long, _tid long, start long, end long"
 
 
@@ -82,10 +91,15 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
+def half(length: int) -> int:
+    """The largest power of two within ``length``: two such grams that overlap make a window."""
+    return 1 << length.bit_length() - 1
+
+
 def window_hashes(data: np.ndarray, length: int, whole: np.ndarray) -> np.ndarray:
-    """Hashes of all windows: two overlapping grams of ``WHOLE`` bytes."""
+    """Hashes of all windows: two overlapping grams of ``half(length)`` bytes."""
     n = len(data) - length + 1
-    return joined(whole[:n], whole[length - WHOLE : length - WHOLE + n])
+    return joined(whole[:n], whole[length - half(length) : length - half(length) + n])
 
 
 def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -94,7 +108,7 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     if len(data) < length:
         return tuple(np.zeros(0, t) for t in ("int64", "int64", "int64", "int64", "bool"))
     width = length - GRAM + 1
-    grams, whole = gram_hashes(data, GRAM, WHOLE)
+    grams, whole = gram_hashes(data, GRAM, half(length))
     least, windows = least_of(grams, width), window_hashes(data, length, whole)
     n = len(windows)
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:n]
@@ -140,13 +154,18 @@ def blocks(texts: list[bytes], length: int, size: int = BLOCK) -> Iterator[tuple
         yield np.frombuffer(b"".join(held), "uint8"), np.cumsum([len(p) for p in held]), np.array(rows), np.array(starts)
 
 
-def text_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def word_codes(text: bytes) -> bytes:
+    """The words of a text as codes of ``CODE`` bytes, end to end."""
+    return np.array([crc32(word) for word in text.translate(WORDS).split()], "<u4").tobytes()
+
+
+def text_runs(docs: DataFrame, length: int = LENGTH, coded: Coding = bytes) -> DataFrame:
     """Every run of every text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_did", "_tid")]
-            texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
+            texts = [coded(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
             for data, ends, rows, starts in blocks(texts, length):
                 begin, n, gram, content, repeats = runs_of(data, ends, length)
                 piece = np.searchsorted(ends, begin, "right")
@@ -223,7 +242,7 @@ def hash_filter(rows: DataFrame, wanted: DataFrame, values: int = FILTER_VALUES)
     return rows.withColumn("_value", value).join(F.broadcast(present), "_value", "left_semi").drop("_value")
 
 
-def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH) -> DataFrame:
+def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH, coded: Coding = bytes) -> DataFrame:
     """``PARTS``: the bytes of runs in ordinary groups, single windows of runs in hot ones."""
     wanted = stage(members.groupBy("_did", "_tid").agg(F.collect_list(F.struct("gram", "start", "n", "alone", "hot")).alias("runs")), "wanted")
     names = ["_did", "_tid", "gram", "window", "start", "n", "alone", "bytes"]
@@ -233,12 +252,12 @@ def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH) -> D
         for batch in batches:
             out: list[tuple] = []
             for did, tid, text, runs in zip(*(batch.column(c) for c in ("_did", "_tid", "text", "runs"))):
-                did, tid, text = did.as_py(), tid.as_py(), text.as_py().encode()
+                did, tid, text = did.as_py(), tid.as_py(), coded(text.as_py().encode())
                 for run in runs.as_py():
                     part = text[run["start"] : run["start"] + run["n"] + length - 1]
                     if run["hot"]:
                         data = np.frombuffer(part, "uint8")
-                        hashes = window_hashes(data, length, gram_hashes(data, WHOLE)[0]).view("int64").tolist()
+                        hashes = window_hashes(data, length, gram_hashes(data, half(length))[0]).view("int64").tolist()
                         out += [(did, tid, run["gram"], w, run["start"] + i, 1, run["alone"], None) for i, w in enumerate(hashes)]
                     else:
                         out.append((did, tid, run["gram"], None, run["start"], run["n"], run["alone"], part))
@@ -262,7 +281,7 @@ def neighbours(parts: DataFrame, length: int = LENGTH) -> DataFrame:
         begin = np.cumsum(n + length - 1) - (n + length - 1)
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = window_hashes(data, length, gram_hashes(data, WHOLE)[0])[begin[row] + within]
+        window = window_hashes(data, length, gram_hashes(data, half(length))[0])[begin[row] + within]
         gram = rows.column("gram").to_numpy()[row]
         order = np.lexsort((window, gram))
         same = (window[order][1:] == window[order][:-1]) & (gram[order][1:] == gram[order][:-1])
@@ -308,9 +327,11 @@ def hot_windows(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     return marked.select("_did", "_tid", "start", (F.col("start") + length).alias("end"))
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """``_did, _tid, spans``: overlapping spans of covered bytes, sorted, per document that has any."""
-    runs = stage(text_runs(docs, length), "runs")
+def covered_spans(
+    docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot_runs: int = HOT_RUNS, coded: Coding = bytes
+) -> DataFrame:
+    """``_did, _tid, spans``: overlapping spans of covered bytes of the coded text, sorted, per document that has any."""
+    runs = stage(text_runs(docs, length, coded), "runs")
     found = repeated_grams(runs, batches)
     matched = stage(runs.join(found, "gram", "left_semi"), "matched")
     contents = stage(
@@ -323,7 +344,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES,
     groups = contents.groupBy("gram").agg(F.count("*").alias("members"), F.max("repeats").alias("repeats"))
     groups = groups.filter("members > 1 OR repeats").select("gram", (F.col("members") > hot_runs).alias("hot"))
     members = contents.join(groups, "gram").select("first.*", "gram", (F.col("copies") == 1).alias("alone"), "hot")
-    parts = stage(partial_runs(docs, members, length), "parts")
+    parts = stage(partial_runs(docs, members, length, coded), "parts")
     spans = whole.union(neighbours(parts, length)).union(hot_windows(parts, length))
     return spans.groupBy("_did", "_tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
@@ -342,6 +363,13 @@ def merged(spans: str = "spans") -> Column:
     return F.aggregate(spans, start, add)
 
 
+def repeated_words(docs: DataFrame, words: int = PASSAGE, batches: int = BATCHES, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """``_did, _tid, n_repeated_words``: how many words lie in passages of ``words`` words or more that occur again, for
+    rows that have any. ``words`` is 16 at least, so that a window holds a gram."""
+    spans = covered_spans(docs, words * CODE, batches, hot_runs, word_codes)
+    return spans.select("_did", "_tid", F.floor(merged()["covered"] / CODE).alias("n_repeated_words"))
+
+
 def cut_spans(text: bytes, spans: list[dict]) -> bytes:
     """What is left of a text without its sorted spans."""
     kept, at = [], 0
@@ -376,5 +404,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return result.select(from_doc_key("_did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    result = remove_repeats(docs).join(repeated_words(docs), ["_did", "_tid"], "left")
+    return result.select(
+        from_doc_key("_did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256",
+        F.coalesce("n_repeated_words", F.lit(0)).cast("long").alias("n_repeated_words"),
+    )

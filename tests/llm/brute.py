@@ -65,6 +65,15 @@ def hits(text: str | None, benchmark: list[tuple[int, str | None]], width: int =
     return len(own), len(gone), sorted(found)
 
 
+def repeated_words(texts: list[str], width: int) -> list[int]:
+    """Per text: words in any ``width`` neighbouring ones that occur again."""
+    all_words = [words(t) for t in texts]
+    seen = Counter(tuple(w[i : i + width]) for w in all_words for i in range(len(w) - width + 1))
+    return [
+        len({j for i in range(len(w) - width + 1) if seen[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}) for w in all_words
+    ]
+
+
 def fingerprint(text: str | None) -> int:
     w = (text or "").encode().lower().split()
     if not w:

@@ -31,6 +31,33 @@ def test_repeated_bytes_match_brute_force(docs, hot):
     assert {r._did: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == dict(enumerate(expected))
 
 
+def passage_cases() -> list[str]:
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    short, passage = own(50), own(70)
+    cut = " ".join(passage.split()[:51])
+    texts = [own(30), own(51), own(300), f"{own(20)} {short} {own(20)}", f"{own(9)} {short}", f"{own(40)}\n{passage}, {own(7)}"]
+    texts += [f"{own(4)}: {passage.upper().replace(' ', ' - ')}", f"{own(99)} «{cut}» {own(3)}", f"{cut}. {own(60)}", own(50) + " é ü" + own(9)]
+    return [*texts, "a b " * 60, "a " * 51, "a " * 52, "", " ,.- "]
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_repeated_passages_match_brute_force(docs, hot):
+    texts = passage_cases()
+    found = suffix_dedup.repeated_words(docs(*enumerate(texts)), hot_runs=hot).collect()
+    assert {r._did: r.n_repeated_words for r in found} == {i: n for i, n in enumerate(brute.repeated_words(texts, 51)) if n}
+    assert max(len(t.split()) for t in texts) > 51 and len(found) > 5
+
+
+def test_registered_suffix_query(spark, tmp_path, docs):
+    texts = suffix_cases() + passage_cases()
+    docs(*enumerate(texts)).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()
+    expected, words = brute.repeats([t.encode() for t in texts], 400), brute.repeated_words(texts, 51)
+    assert {r[0]: tuple(r[1:]) for r in rows} == {i: (*e, w) for i, (e, w) in enumerate(zip(expected, words))}
+    assert len(rows) == len(texts)
+
+
 def test_long_texts_are_cut_into_blocks_without_loss(monkeypatch):
     data = (letters(5000) + "q" * 1000 + letters(3000)).encode()
     whole = list(suffix_dedup.blocks([data], 400))
@@ -58,6 +85,9 @@ def test_suffix_dedup_awkward_rows(awkward, docs):
     assert by_id[7].n_removed == by_id[7].n_bytes and by_id[7].kept_sha256 == brute.sha("")
     assert by_id[1].n_bytes == 0 and by_id[5].n_removed == 0
     assert suffix_dedup.remove_repeats(docs()).count() == 0
+    passages = {(r._did, r.n_repeated_words) for r in suffix_dedup.repeated_words(awkward).collect()}
+    assert passages == {(7, 30_000), (8, 30_000)}
+    assert suffix_dedup.repeated_words(docs()).count() == 0
 
 
 def test_lines_match_brute_force(docs):
