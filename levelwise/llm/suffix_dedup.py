@@ -18,7 +18,7 @@ values, since only long common beginnings matter.
    at most 2**20 hash values keeps most others out before the shuffle; what it lets through costs time only).
 
 ``repeated_words`` asks the same index for passages of more than ``PASSAGE - 1`` words: each word, lower-cased and without
-what stands between words, becomes a code of ``CODE`` bytes, and a string of ``PASSAGE`` codes is a string of bytes.
+what stands between words, becomes a code of ``CODE`` bytes, which takes the place of a byte.
 A passage of that many short words may have fewer than ``LENGTH`` bytes; it is reported, not removed.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are copies of each
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -47,7 +48,7 @@ CODE = 4
 BATCHES = 3
 HOT_RUNS = 1000
 BLOCK = 1 << 18
-GATHERED = 4 << 20
+GATHERED = 2 << 20
 FILTER_VALUES = 1 << 20
 # Everything but letters and digits stands between words; A-Z are lower-cased.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or bytes([c]).isalnum() else 32 for c in range(256))
@@ -56,10 +57,32 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 RUNS = "_did long, _tid long, gram long, content long, start long, n int, repeats boolean"
 PARTS = "_did long, _tid long, gram long, window long, start long, n int, alone boolean, bytes binary"
-Coding = Callable[[bytes], bytes]
+
 SPANS = "_did long, _tid long, start long, end long"
 
 
+class Symbols(NamedTuple):
+    """What strings are made of: the bytes of a symbol, and a text as symbols end to end. Places and lengths count symbols."""
+
+    unit: int
+    coded: Callable[[bytes], bytes]
+
+    @property
+    def gram(self) -> int:
+        return GRAM // self.unit
+
+    def array(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, f"<u{self.unit}")
+
+
+def word_codes(text: bytes) -> bytes:
+    """The words of a text as codes of ``CODE`` bytes, end to end."""
+    return np.array([crc32(word) for word in text.translate(WORDS).split()], "<u4").tobytes()
+
+
+BYTES, WORD_CODES = Symbols(1, bytes), Symbols(CODE, word_codes)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * M1
     return x ^ (x >> np.uint64(32))
@@ -102,13 +125,13 @@ def window_hashes(data: np.ndarray, length: int, whole: np.ndarray) -> np.ndarra
     return joined(whole[:n], whole[length - half(length) : length - half(length) + n])
 
 
-def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of the texts that lie end to end in ``data``: start, number of windows, gram, content, whether a window
     of the run may equal another of it."""
     if len(data) < length:
         return tuple(np.zeros(0, t) for t in ("int64", "int64", "int64", "int64", "bool"))
-    width = length - GRAM + 1
-    grams, whole = gram_hashes(data, GRAM, half(length))
+    width = length - gram + 1
+    grams, whole = gram_hashes(data, gram, half(length))
     least, windows = least_of(grams, width), window_hashes(data, length, whole)
     n = len(windows)
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:n]
@@ -131,43 +154,40 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     return begin, end - begin, least[begin].view("int64"), content.view("int64"), repeats
 
 
-def blocks(texts: list[bytes], length: int, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Portions of bounded size: bytes, ends of pieces, and for each piece its text and where it starts there.
+def blocks(
+    texts: list[bytes], length: int, size: int = BLOCK, symbols: Symbols = BYTES
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Portions of bounded size: symbols, ends of pieces, and for each piece its text and where it starts there.
 
-    Pieces of a long text overlap by ``length - 1`` bytes: each window is in one piece.
+    Pieces of a long text overlap by ``length - 1`` symbols: each window is in one piece.
     """
     held: list[bytes] = []
     rows: list[int] = []
     starts: list[int] = []
-    total = 0
+    total, unit = 0, symbols.unit
     for row, text in enumerate(texts):
-        for at in range(0, max(len(text) - length + 1, 0), size):
-            piece = text[at : at + size + length - 1]
+        for at in range(0, max(len(text) // unit - length + 1, 0), size):
+            piece = text[at * unit : (at + size + length - 1) * unit]
             held.append(piece)
             rows.append(row)
             starts.append(at)
-            total += len(piece)
+            total += len(piece) // unit
             if total >= size:
-                yield np.frombuffer(b"".join(held), "uint8"), np.cumsum([len(p) for p in held]), np.array(rows), np.array(starts)
+                yield symbols.array(b"".join(held)), np.cumsum([len(p) // unit for p in held]), np.array(rows), np.array(starts)
                 held, rows, starts, total = [], [], [], 0
     if held:
-        yield np.frombuffer(b"".join(held), "uint8"), np.cumsum([len(p) for p in held]), np.array(rows), np.array(starts)
-
-
-def word_codes(text: bytes) -> bytes:
-    """The words of a text as codes of ``CODE`` bytes, end to end."""
-    return np.array([crc32(word) for word in text.translate(WORDS).split()], "<u4").tobytes()
+        yield symbols.array(b"".join(held)), np.cumsum([len(p) // unit for p in held]), np.array(rows), np.array(starts)
 
 
-def text_runs(docs: DataFrame, length: int = LENGTH, coded: Coding = bytes) -> DataFrame:
+def text_runs(docs: DataFrame, length: int = LENGTH, symbols: Symbols = BYTES) -> DataFrame:
     """Every run of every text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_did", "_tid")]
-            texts = [coded(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
-            for data, ends, rows, starts in blocks(texts, length):
-                begin, n, gram, content, repeats = runs_of(data, ends, length)
+            texts = [symbols.coded(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
+            for data, ends, rows, starts in blocks(texts, length, symbols=symbols):
+                begin, n, gram, content, repeats = runs_of(data, ends, length, symbols.gram)
                 piece = np.searchsorted(ends, begin, "right")
                 start = begin - np.append(0, ends)[piece] + starts[piece]
                 columns = [*(k[rows[piece]] for k in keys), gram, content, start, n.astype("int32"), repeats]
@@ -242,7 +262,7 @@ def hash_filter(rows: DataFrame, wanted: DataFrame, values: int = FILTER_VALUES)
     return rows.withColumn("_value", value).join(F.broadcast(present), "_value", "left_semi").drop("_value")
 
 
-def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH, coded: Coding = bytes) -> DataFrame:
+def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH, symbols: Symbols = BYTES) -> DataFrame:
     """``PARTS``: the bytes of runs in ordinary groups, single windows of runs in hot ones."""
     wanted = stage(members.groupBy("_did", "_tid").agg(F.collect_list(F.struct("gram", "start", "n", "alone", "hot")).alias("runs")), "wanted")
     names = ["_did", "_tid", "gram", "window", "start", "n", "alone", "bytes"]
@@ -252,11 +272,11 @@ def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH, code
         for batch in batches:
             out: list[tuple] = []
             for did, tid, text, runs in zip(*(batch.column(c) for c in ("_did", "_tid", "text", "runs"))):
-                did, tid, text = did.as_py(), tid.as_py(), coded(text.as_py().encode())
+                did, tid, text = did.as_py(), tid.as_py(), symbols.coded(text.as_py().encode())
                 for run in runs.as_py():
-                    part = text[run["start"] : run["start"] + run["n"] + length - 1]
+                    part = text[run["start"] * symbols.unit : (run["start"] + run["n"] + length - 1) * symbols.unit]
                     if run["hot"]:
-                        data = np.frombuffer(part, "uint8")
+                        data = symbols.array(part)
                         hashes = window_hashes(data, length, gram_hashes(data, half(length))[0]).view("int64").tolist()
                         out += [(did, tid, run["gram"], w, run["start"] + i, 1, run["alone"], None) for i, w in enumerate(hashes)]
                     else:
@@ -271,13 +291,13 @@ def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH, code
     return rows.mapInArrow(compute, PARTS)
 
 
-def neighbours(parts: DataFrame, length: int = LENGTH) -> DataFrame:
+def neighbours(parts: DataFrame, length: int = LENGTH, symbols: Symbols = BYTES) -> DataFrame:
     """Spans of windows that have an equal in their group: windows sorted per gram, neighbours compared."""
 
     def sort_windows(table: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(table)
         n = rows.column("n").to_numpy().astype("int64")
-        data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), "uint8")
+        data = symbols.array(b"".join(rows.column("bytes").to_pylist()))
         begin = np.cumsum(n + length - 1) - (n + length - 1)
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -328,10 +348,10 @@ def hot_windows(parts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def covered_spans(
-    docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot_runs: int = HOT_RUNS, coded: Coding = bytes
+    docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot_runs: int = HOT_RUNS, symbols: Symbols = BYTES
 ) -> DataFrame:
-    """``_did, _tid, spans``: overlapping spans of covered bytes of the coded text, sorted, per document that has any."""
-    runs = stage(text_runs(docs, length, coded), "runs")
+    """``_did, _tid, spans``: overlapping spans of covered symbols, sorted, per document that has any."""
+    runs = stage(text_runs(docs, length, symbols), "runs")
     found = repeated_grams(runs, batches)
     matched = stage(runs.join(found, "gram", "left_semi"), "matched")
     contents = stage(
@@ -344,13 +364,13 @@ def covered_spans(
     groups = contents.groupBy("gram").agg(F.count("*").alias("members"), F.max("repeats").alias("repeats"))
     groups = groups.filter("members > 1 OR repeats").select("gram", (F.col("members") > hot_runs).alias("hot"))
     members = contents.join(groups, "gram").select("first.*", "gram", (F.col("copies") == 1).alias("alone"), "hot")
-    parts = stage(partial_runs(docs, members, length, coded), "parts")
-    spans = whole.union(neighbours(parts, length)).union(hot_windows(parts, length))
+    parts = stage(partial_runs(docs, members, length, symbols), "parts")
+    spans = whole.union(neighbours(parts, length, symbols)).union(hot_windows(parts, length))
     return spans.groupBy("_did", "_tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def merged(spans: str = "spans") -> Column:
-    """Of sorted spans: how many bytes they cover in how many maximal runs."""
+    """Of sorted spans: how many symbols they cover in how many maximal runs."""
     start = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("n"))
 
     def add(so_far: Column, span: Column) -> Column:
@@ -366,8 +386,8 @@ def merged(spans: str = "spans") -> Column:
 def repeated_words(docs: DataFrame, words: int = PASSAGE, batches: int = BATCHES, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``_did, _tid, n_repeated_words``: how many words lie in passages of ``words`` words or more that occur again, for
     rows that have any. ``words`` is 16 at least, so that a window holds a gram."""
-    spans = covered_spans(docs, words * CODE, batches, hot_runs, word_codes)
-    return spans.select("_did", "_tid", F.floor(merged()["covered"] / CODE).alias("n_repeated_words"))
+    spans = covered_spans(docs, words, batches, hot_runs, WORD_CODES)
+    return spans.select("_did", "_tid", merged()["covered"].alias("n_repeated_words"))
 
 
 def cut_spans(text: bytes, spans: list[dict]) -> bytes:
