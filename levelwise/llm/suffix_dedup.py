@@ -12,8 +12,8 @@ values, since only long common beginnings matter.
    one of the next size. A suffix takes part in logarithmically many merges. The scans yield the repeated grams.
 3. A run whose whole content occurs again is covered at once. What is left are runs that agree with others in part:
    one representative per distinct content sends its bytes to the group of its gram, where the windows are sorted and
-   neighbours compared. Groups with more than ``HOT_RUNS`` members are not gathered: their windows become rows that
-   are counted by an aggregate.
+   neighbours compared. Groups with more than ``HOT_RUNS`` members are not gathered: their runs become segments,
+   and the windows of segments whose common core occurs again become rows that are counted by an aggregate.
 4. Covered spans are merged per document. Text travels twice, and only that of documents that need it (a broadcast of
    at most 2**20 hash values keeps most others out before the shuffle; what it lets through costs time only).
 
@@ -47,6 +47,7 @@ PASSAGE = 51
 CODE = 4
 BATCHES = 3
 HOT_RUNS = 1000
+SEGMENT = 16
 BLOCK = 1 << 18
 GATHERED = 2 << 20
 FILTER_VALUES = 1 << 20
@@ -58,6 +59,7 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RUNS = "_did long, _tid long, gram long, content long, start long, n int, repeats boolean"
 PARTS = "_did long, _tid long, gram long, window long, start long, n int, alone boolean, bytes binary"
 
+WINDOWS = "_did long, _tid long, gram long, window long, start long, alone boolean"
 SPANS = "_did long, _tid long, start long, end long"
 
 
@@ -262,8 +264,25 @@ def hash_filter(rows: DataFrame, wanted: DataFrame, values: int = FILTER_VALUES)
     return rows.withColumn("_value", value).join(F.broadcast(present), "_value", "left_semi").drop("_value")
 
 
+def segments(data: np.ndarray, value: int, length: int, gram: int) -> list[tuple[int, int, int]]:
+    """A run in segments: first window, number of windows, hash of the core that all their windows share.
+
+    A segment holds neighbouring windows by the place of their gram within them, in steps of ``SEGMENT``. Equal windows
+    have it at the same place, so they lie in segments of equal cores, and of two different segments.
+    """
+    core = length - SEGMENT + 1
+    grams, whole = gram_hashes(data, gram, half(core))
+    places = np.flatnonzero(grams.view("int64") == value)
+    window = np.arange(len(data) - length + 1)
+    place = places[np.searchsorted(places, window)]
+    step = (place - window) // SEGMENT
+    first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (step[1:] != step[:-1])))
+    cores = window_hashes(data, core, whole)[place[first] - SEGMENT * step[first]].view("int64")
+    return list(zip(first.tolist(), np.diff(np.append(first, len(window))).tolist(), cores.tolist()))
+
+
 def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH, symbols: Symbols = BYTES) -> DataFrame:
-    """``PARTS``: the bytes of runs in ordinary groups, single windows of runs in hot ones."""
+    """``PARTS``: the bytes of runs in ordinary groups; in hot ones those of their segments, ``window`` being the core."""
     wanted = stage(members.groupBy("_did", "_tid").agg(F.collect_list(F.struct("gram", "start", "n", "alone", "hot")).alias("runs")), "wanted")
     names = ["_did", "_tid", "gram", "window", "start", "n", "alone", "bytes"]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
@@ -276,9 +295,9 @@ def partial_runs(docs: DataFrame, members: DataFrame, length: int = LENGTH, symb
                 for run in runs.as_py():
                     part = text[run["start"] * symbols.unit : (run["start"] + run["n"] + length - 1) * symbols.unit]
                     if run["hot"]:
-                        data = symbols.array(part)
-                        hashes = window_hashes(data, length, gram_hashes(data, half(length))[0]).view("int64").tolist()
-                        out += [(did, tid, run["gram"], w, run["start"] + i, 1, run["alone"], None) for i, w in enumerate(hashes)]
+                        for i, n, core in segments(symbols.array(part), run["gram"], length, symbols.gram):
+                            cut = part[i * symbols.unit : (i + n + length - 1) * symbols.unit]
+                            out.append((did, tid, run["gram"], core, run["start"] + i, n, run["alone"], cut))
                     else:
                         out.append((did, tid, run["gram"], None, run["start"], run["n"], run["alone"], part))
                 if len(out) > 20_000:
@@ -339,11 +358,28 @@ def neighbours(parts: DataFrame, length: int = LENGTH, symbols: Symbols = BYTES)
     return gathered.mapInArrow(compute, SPANS)
 
 
-def hot_windows(parts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same for hot groups: windows counted by an aggregate."""
-    windows = parts.filter("window IS NOT NULL")
-    twice = windows.groupBy("gram", "window").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
-    marked = windows.filter("alone").join(twice, ["gram", "window"])
+def hot_windows(parts: DataFrame, length: int = LENGTH, symbols: Symbols = BYTES) -> DataFrame:
+    """The same for hot groups: only segments whose core occurs again become windows, which an aggregate counts."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                did, tid, gram, start, alone, part = (batch.column(c)[row].as_py() for c in ("_did", "_tid", "gram", "start", "alone", "bytes"))
+                data = symbols.array(part)
+                hashes = window_hashes(data, length, gram_hashes(data, half(length))[0]).view("int64")
+                n = len(hashes)
+                yield pa.record_batch(
+                    [pa.array([did] * n), pa.array([tid] * n), pa.array([gram] * n), pa.array(hashes), pa.array(start + np.arange(n)), pa.array([alone] * n)],
+                    names=["_did", "_tid", "gram", "window", "start", "alone"],
+                )
+
+    def twice(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("gram", "window").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+
+    hot = parts.filter("window IS NOT NULL")
+    shared = hot.join(twice(hot.select("gram", "window")), ["gram", "window"], "left_semi")
+    windows = stage(shared.mapInArrow(compute, WINDOWS), "windows")
+    marked = windows.filter("alone").join(twice(windows), ["gram", "window"])
     return marked.select("_did", "_tid", "start", (F.col("start") + length).alias("end"))
 
 
@@ -365,7 +401,7 @@ def covered_spans(
     groups = groups.filter("members > 1 OR repeats").select("gram", (F.col("members") > hot_runs).alias("hot"))
     members = contents.join(groups, "gram").select("first.*", "gram", (F.col("copies") == 1).alias("alone"), "hot")
     parts = stage(partial_runs(docs, members, length, symbols), "parts")
-    spans = whole.union(neighbours(parts, length, symbols)).union(hot_windows(parts, length))
+    spans = whole.union(neighbours(parts, length, symbols)).union(hot_windows(parts, length, symbols))
     return spans.groupBy("_did", "_tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
