@@ -25,6 +25,8 @@ from levelwise.streaming.prediction_sink import sink_predictions
 from levelwise.streaming.score_stream import request_stream
 
 LATE_DAYS = 7
+# Micro-batches of the request log, and about how many bytes of it make a file.
+BATCHES, FILE_BYTES = 3, 64 << 20
 
 
 @query(f"WITH {fx.DOCS_SQL} SELECT id, text, {CODE_OF_Y} AS label, y AS label_id FROM level_docs")
@@ -40,8 +42,11 @@ def read_labelled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions_stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log as a stream of several micro-batches, its predictions written by batch and read back."""
     incoming, output, checkpoint = (staging_path(spark, n) for n in ("stream-in", "stream-sink", "stream-checkpoint"))
-    fx.request_lines(spark, sf_dir).repartition(3).write.text(incoming)
-    scored = score_requests(request_stream(spark, incoming, max_files=1), models._score_sentences)
+    # A batch has as many files as its share of the text needs, so that no task's share grows with it.
+    size = fx.documents(spark, sf_dir).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, -(-size // (BATCHES * FILE_BYTES)))
+    fx.request_lines(spark, sf_dir).repartition(BATCHES * files).write.text(incoming)
+    scored = score_requests(request_stream(spark, incoming, max_files=files), models._score_sentences)
     sink_predictions(scored, output, checkpoint).awaitTermination()
     return spark.read.parquet(output).select("request_id", "pos", "cefr", "sentence", F.round("confidence", 6).alias("confidence"))
 

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
 
+from levelwise.catalog import streams
 from levelwise.operators.metrics import confusion_cells, evaluate_table
 from levelwise.plans import fit as ft
 from levelwise.sources.labelled import prepare_labelled, read_labelled
@@ -141,3 +143,18 @@ def test_a_stopped_fit_goes_on_after_its_last_candidate(spark, tmp_path, monkeyp
     # Other rows are another fit.
     ft.fit_parts(parts.where("text not like '%6'"), settings, resume=str(tmp_path))
     assert len(fits) == 7
+
+
+def test_the_request_log_is_dealt_by_its_size(spark, sf_dir, monkeypatch):
+    plain, seen, opened = streams.predictions_stream_sink(spark, sf_dir), [], streams.request_stream
+
+    def watch(session, path, max_files=None):
+        seen.append((len(list(Path(path.removeprefix("file:")).glob("part-*"))), max_files))
+        return opened(session, path, max_files)
+
+    monkeypatch.setattr(streams, "FILE_BYTES", 50_000, raising=False)
+    monkeypatch.setattr(streams, "request_stream", watch)
+    dealt = streams.predictions_stream_sink(spark, sf_dir)
+    # Three batches at any size; their files grow in number, not in size.
+    assert seen[0][1] > 1 and seen[0][0] == 3 * seen[0][1]
+    assert dealt.count() == plain.count() > 0 and dealt.exceptAll(plain).count() == 0
