@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -130,3 +131,11 @@ def bucket(word: Column | str, buckets: int) -> Column:
     word = F.col(word) if isinstance(word, str) else word
     number = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % buckets
     return F.concat(F.lit("#"), number.cast("string"))
+
+
+def word_place(places: dict[str, int], word: str, buckets: int) -> int | None:
+    """The place of a word, or else that of its :func:`bucket`; none if neither has one."""
+    at = places.get(word)
+    if at is None and buckets:
+        at = places.get(f"#{int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % buckets}")
+    return at

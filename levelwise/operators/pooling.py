@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import add
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from levelwise.functions.scoring import of_length
 from levelwise.functions.text import words
+from levelwise.operators.encode import word_place
 
 # Fixed value: smallest divisor, so an all-masked group pools to zeros.
 MIN_TOKENS = 1e-9
@@ -68,6 +68,26 @@ def mean_pool(
     return means.select(group, F.transform("_mean", lambda x: x * F.col("_scale")).alias("pooled"))
 
 
+def mean_vectors(lists: pa.ListArray, place: Callable[[str], int], matrix: np.ndarray) -> pa.ListArray:
+    """Mean of the rows of ``matrix`` at the places of the words of each list; words of the last place do not count."""
+    unknown = len(matrix) - 1
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    rows_of = np.array([place(w) for w in coded.dictionary.to_pylist()], int)
+    at = rows_of[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, int)
+    sums, known = np.zeros((len(lists), matrix.shape[1])), np.zeros(len(lists))
+    step = max(1, PORTION // matrix.shape[1])
+    for low in range(0, len(at), step):
+        part = at[low : low + step]
+        text_of = np.searchsorted(ends, np.arange(low, low + len(part)), "right")
+        first = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]])
+        sums[text_of[first]] += np.add.reduceat(matrix[part], first, axis=0)
+        known[text_of[first]] += np.add.reduceat((part != unknown).astype("float64"), first)
+    pooled = sums / np.maximum(known, MIN_TOKENS)[:, None]
+    offsets = pa.array(np.arange(len(lists) + 1, dtype="int32") * matrix.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(pooled.ravel()))
+
+
 def embed_text(
     df: DataFrame, token_vectors: DataFrame, dim: int, id_col: str = "id", text: str = "text", buckets: int = 0
 ) -> DataFrame:
@@ -91,35 +111,17 @@ def embed_text(
     places = {token: i for i, token in enumerate(tokens)}
     matrix = np.concatenate((vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), np.zeros((1, dim))))
     sent = df.sparkSession.sparkContext.broadcast((places, matrix))
-    portion, least = PORTION, MIN_TOKENS
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, matrix = sent.value
         unknown = len(matrix) - 1
 
         def place(word: str) -> int:
-            at = places.get(word)
-            if at is None and buckets:
-                at = places.get(f"#{int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % buckets}")
+            at = word_place(places, word, buckets)
             return unknown if at is None else at
 
         for batch in batches:
-            lists = batch.column(1)
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            coded = lists.flatten().dictionary_encode()
-            rows_of = np.array([place(w) for w in coded.dictionary.to_pylist()], int)
-            at = rows_of[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, int)
-            sums, known = np.zeros((batch.num_rows, matrix.shape[1])), np.zeros(batch.num_rows)
-            step = max(1, portion // matrix.shape[1])
-            for low in range(0, len(at), step):
-                part = at[low : low + step]
-                text_of = np.searchsorted(ends, np.arange(low, low + len(part)), "right")
-                first = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]])
-                sums[text_of[first]] += np.add.reduceat(matrix[part], first, axis=0)
-                known[text_of[first]] += np.add.reduceat((part != unknown).astype("float64"), first)
-            pooled = sums / np.maximum(known, least)[:, None]
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype="int32") * matrix.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(pooled.ravel()))], names=[id_col, "pooled"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), mean_vectors(batch.column(1), place, matrix)], names=[id_col, "pooled"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, words(text).alias("_words")).mapInArrow(pool, f"`{id_col}` {kind}, pooled array<double>")

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from levelwise.functions.labels import LEVELS
 from levelwise.functions.scoring import argmax_label
 from levelwise.functions.text import WORD, words
-from levelwise.operators.encode import MAX_VOCABULARY, UNKNOWN, bucket, learn_vocabulary, lookup
+from levelwise.operators.encode import MAX_VOCABULARY, learn_vocabulary, word_place
 from levelwise.operators.metrics import LOSS_FLOOR, evaluate_table
+from levelwise.operators.pair_vectors import learn_vectors
 from levelwise.operators.selection import select_best
 from levelwise.operators.weights import ALPHA, attach_class_weight, class_weights
 from levelwise.sources.staging import staged
@@ -331,21 +332,15 @@ def learn_token_vectors(
 
     Exactly the first ``vocabulary_size`` words of :func:`learn_vocabulary` have
     a vector of their own; every other word is read as its bucket, so no word is
-    lost. Vectors are averaged over ``partitions`` parts of the corpus, by default
-    one per :data:`PART_WORDS` words, whatever the cluster. Words of equal counts may change
-    places from fit to fit, which moves their vectors a little.
+    lost. They are trained on exact counts of near words (:func:`learn_vectors`);
+    ``partitions`` cuts the table of pairs, by default by their number.
     """
     if not 0 < vocabulary_size <= MAX_VOCABULARY:
         raise ValueError(f"vocabulary size must be between 1 and {MAX_VOCABULARY}, got {vocabulary_size}")
-    token_id = lookup(learn_vocabulary(df, vocabulary_size, text))
-    named = F.transform(words(text), lambda w: F.when(token_id(w) == UNKNOWN, bucket(w, buckets)).otherwise(w))
-    # Rows go to the parts by a hash of their words, in a fixed order within each.
-    sentences = df.select(named.alias("words")).where(F.size("words") > 0)
-    partitions = partitions or vector_parts(df.select(words(text).alias("w")), "w")
-    dealt = sentences.repartition(partitions, F.xxhash64("words")).sortWithinPartitions(F.xxhash64("words"))
-    learned = Word2Vec(
-        vectorSize=dim, minCount=1, seed=seed, numPartitions=partitions, maxIter=1, inputCol="words", outputCol="v"
-    ).fit(dealt)
-    return learned.getVectors().select(
-        F.col("word").alias("token"), vector_to_array("vector").alias("vector")
-    )
+    known = [row["token"] for row in learn_vocabulary(df, vocabulary_size, text).orderBy("token_id").collect()]
+    names = [*known, *(f"#{b}" for b in range(buckets))]
+    places = {name: i for i, name in enumerate(names)}
+    sent = df.sparkSession.sparkContext.broadcast(places)
+    found, vectors = learn_vectors(
+        df.select(words(text).alias("words")), "words", len(names), dim, lambda word: word_place(sent.value, word, buckets), seed, partitions)
+    return df.sparkSession.createDataFrame([(names[i], vectors[i].tolist()) for i in found], "token string, vector array<double>")
