@@ -9,11 +9,17 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import keyword_only
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +29,7 @@ from levelwise.functions.text import WORD, words
 from levelwise.operators.encode import MAX_VOCABULARY, learn_vocabulary, word_place
 from levelwise.operators.metrics import LOSS_FLOOR, evaluate_table
 from levelwise.operators.pair_vectors import learn_vectors
+from levelwise.operators.pooling import mean_vectors
 from levelwise.operators.selection import select_best
 from levelwise.operators.weights import ALPHA, attach_class_weight, class_weights
 from levelwise.sources.staging import staged
@@ -38,8 +45,6 @@ SETTINGS_SCHEMA = (
     "aggregation_depth int, features string, dim int, candidates string, best int, history array<array<double>>, spark_version string, saved long"
 )
 VECTOR_BUCKETS, VECTOR_SEED = 64, 42
-# Words of a part of the corpus on which word vectors are trained; vectors of the parts are averaged.
-PART_WORDS = 500_000
 
 
 class NoUsefulCandidate(RuntimeError):
@@ -161,19 +166,35 @@ def fit_features(train: DataFrame, settings: FitSettings) -> Transformer:
     """The step from ``counts`` to ``features``; the mean of a text's vectors is taken inside its row."""
     if settings.features == "counts":
         return IDF(inputCol="counts", outputCol="features").fit(train)
-    # Parts follow the data, not the cluster, in a fixed order. Buckets of equal counts may still change places from
-    # fit to fit, which moves their vectors a little.
-    order, partitions = F.xxhash64("counts"), vector_parts(train.select("counts"), "counts")
-    dealt = train.select("counts").repartition(partitions, order).sortWithinPartitions(order)
-    return Word2Vec(
-        vectorSize=settings.dim, minCount=1, seed=VECTOR_SEED, numPartitions=partitions, maxIter=1,
-        inputCol="counts", outputCol="features",
-    ).fit(dealt)
-
-
-def vector_parts(rows: DataFrame, words_col: str) -> int:
-    """Parts to train word vectors on, one per :data:`PART_WORDS` words."""
-    return max(1, -(-(rows.agg(F.sum(F.size(words_col))).first()[0] or 0) // PART_WORDS))
+    found, vectors = learn_vectors(train, "counts", settings.num_features, settings.dim, int, VECTOR_SEED)
+    return MeanVectors(inputCol="counts", outputCol="features").setVectors(settings.num_features, found, vectors)
+
+
+class MeanVectors(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The mean of the vectors of a text's buckets, taken inside its row; a bucket never seen counts as zeros."""
+
+    vectors = Param(Params._dummy(), "vectors", "a vector for each bucket", TypeConverters.identity)
+
+    @keyword_only
+    def __init__(self, inputCol: str = "counts", outputCol: str = "features"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def setVectors(self, size: int, found: Sequence[int], vectors: np.ndarray) -> MeanVectors:
+        kept = np.zeros((size, vectors.shape[1]))
+        kept[list(found)] = vectors[list(found)]
+        return self._set(vectors=kept.tolist())
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        matrix = np.array(self.getOrDefault(self.vectors))
+        # No bucket has the last place, which is that of unknown words: all words count.
+        matrix = np.concatenate((matrix, np.zeros((1, matrix.shape[1]))))
+
+        @F.arrow_udf("array<double>")
+        def mean(lists: pa.Array) -> pa.Array:
+            return mean_vectors(lists, int, matrix)
+
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(mean(self.getInputCol())))
 
 
 def word_counts(parts: DataFrame, settings: FitSettings, keep: tuple[str | Column, ...] = ()) -> DataFrame:

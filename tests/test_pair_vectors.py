@@ -96,3 +96,23 @@ def test_words_of_the_same_company_are_near(spark):
 def test_texts_without_words_have_no_vectors(spark):
     df = spark.createDataFrame([("",), (None,), ("...",)], "text string")
     assert ft.learn_token_vectors(df, vocabulary_size=5, dim=3).count() == 0
+
+
+def test_pooled_features_follow_the_shares_of_the_pairs(spark):
+    settings = ft.FitSettings(features="embedding", dim=4, num_features=8)
+    rows = [(["1", "2", "3"],), (["2", "1", "5"],), (["6"],)]
+    df = spark.createDataFrame(rows + [([],)], "counts array<string>")
+    first, second = (
+        {tuple(r["counts"]): r["features"].toArray() for r in ft.fit_features(
+            spark.createDataFrame(rows * times, "counts array<string>"), settings).transform(df).collect()} for times in (1, 4))
+    for counts, features in first.items():
+        assert second[counts] == pytest.approx(features, abs=1e-6)
+        assert features.any() == bool(counts)
+
+
+def test_a_bucket_never_seen_counts_as_zeros(spark):
+    settings = ft.FitSettings(features="embedding", dim=4, num_features=8)
+    step = ft.fit_features(spark.createDataFrame([(["1", "2"],)], "counts array<string>"), settings)
+    seen, half = (r["features"].toArray() for r in step.transform(
+        spark.createDataFrame([(0, ["1"]), (1, ["1", "7"])], "id int, counts array<string>")).orderBy("id").collect())
+    assert seen.any() and half == pytest.approx(seen / 2)
